@@ -110,9 +110,12 @@ def _judged(d: DataFrame, rules) -> DataFrame:
 
 
 def keep(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows that the rules keep, all columns as they were."""
+    """The rows that the rules keep, all columns as they were.
+
+    The verdict unnests the row or nothing: a filter would be pushed below the measures and repeat them.
+    """
     packed = df.select(F.struct("*").alias("__row"), F.col(id_col), F.col(text_col))
-    return _judged(measured(packed, id_col, text_col), rules).filter("kept").select("__row.*")
+    return _judged(measured(packed, id_col, text_col), rules).select(F.explode(F.expr("if(kept, array(__row), slice(array(__row), 1, 0))")).alias("__row")).select("__row.*")
 
 
 def oracle(table: str = "documents", rules=RULES) -> str:
