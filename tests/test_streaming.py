@@ -13,9 +13,9 @@ T0 = dt.datetime(1970, 1, 1)
 REG = [(1, 1235, "math", 80), (1, 1235, "english", 60), (2, 1236, "math", 70), (2, 1236, "english", 80)]
 STU = [(1234, "mike", 20), (1235, "jack", 30), (1236, "lucy", 20), (1237, "ann", 30)]
 JOIN = """SELECT AVG(r.score) AS score, s.name AS student, t.name AS teacher
-    FROM registration OVER (WINDOW '2' SECONDS, SLIDE '1' SECONDS) AS r
-    JOIN student OVER (WINDOW '2' SECONDS, SLIDE '1' SECONDS) AS s ON r.studentId = s.id JOIN teacher t ON r.teacherId = t.id
-    GROUP BY r.score, s.name, t.name"""
+    FROM registration OVER (WINDOW '2000' MILLISECONDS, SLIDE '1000' MILLISECONDS) AS r
+    JOIN student OVER (WINDOW '2000' MILLISECONDS, SLIDE '1000' MILLISECONDS) AS s ON s.id = r.studentId JOIN teacher t ON t.id = r.teacherId
+    GROUP BY t.name, s.name, r.score"""
 #: By batch: the rows of windows of two batches.
 WANT = {1: [(60.0, "jack", "bing"), (80.0, "jack", "bing")], 2: [(60.0, "jack", "bing"), (70.0, "lucy", "google")], 3: [(70.0, "lucy", "google"), (80.0, "lucy", "google")]}
 BATCHES = 8
