@@ -78,6 +78,13 @@ def answers(df):
     return sorted(map(repr, map(tuple, df.collect())))
 
 
+def test_subqueries_keep_the_time_that_they_do_not_select(ctx):
+    want = answers(ctx.sql("SELECT k, COUNT(*) AS c FROM s OVER (WINDOW '2' SECONDS) t GROUP BY k"))
+    assert answers(ctx.sql("SELECT t.k, COUNT(*) AS c FROM (SELECT k FROM s) OVER (WINDOW '2' SECONDS) AS t GROUP BY t.k")) == want
+    assert answers(ctx.sql("WITH q AS (SELECT k AS g FROM s WHERE v > 0 UNION ALL SELECT k FROM s WHERE v IS NULL) SELECT g AS k, COUNT(*) AS c FROM q OVER (WINDOW '2' SECONDS) t GROUP BY g")) == want
+    assert ctx.sql("SELECT k FROM s ORDER BY v LIMIT 1").columns == ["k"] and ctx.sql("SELECT COUNT(*) AS c FROM s").first().c == 4
+
+
 def test_rejections(ctx, spark):
     for text in (
         "SELECT k FROM s OVER (WINDOW '1500' MILLISECONDS) t",

@@ -18,11 +18,6 @@ def assign(df: DataFrame, ts: str, width: int, slide: int) -> DataFrame:
     return df.withColumn(WIN, F.window(F.col(f"`{ts}`"), spelled(width), *([spelled(slide)] if slide != width else [])))
 
 
-def end_of(kind: str, at: str) -> str:
-    """SQL of the window end of a relation whose instants are of a kind (WIN or END)."""
-    return f"{at}.{WIN}.end" if kind == WIN else f"{at}.{END}"
-
-
 #: What a pane's partial results are and how they are merged: name to (partials, final expression).
 MERGEABLE = ("count", "sum", "min", "max", "avg")
 

@@ -17,12 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.operators.durations import WindowError, check
-from windrose.operators.windowing import END, MERGEABLE, WIN, assign, end_of, pane_aggregate
+from windrose.operators.windowing import END, MERGEABLE, WIN, assign, pane_aggregate
 from windrose.plans.lexer import Token, render, tokens
-from windrose.plans.parser import Block, Derived, Insert, Item, Join, Lateral, Order, Query, Table, WindowClause
+from windrose.plans.parser import Block, Derived, Item, Join, Lateral, Order, Query, Table, WindowClause
 
 _IDS = itertools.count()
-HIDDEN = (WIN, END)
+#: The time of an unwindowed stream's rows, carried beside what a subquery selects.
+TIME = "__ts"
 
 
 @dataclass
@@ -43,7 +44,17 @@ class Lifted:
     kind: str | None = None
     width: int | None = None
     slide: int | None = None
-    stream: Stream | None = None  # an unwindowed registered stream
+    stream: Stream | None = None  # of an unwindowed stream: df and its time column
+
+    def only(self, kind: str | None = None) -> DataFrame:
+        """The visible columns, and the instant as WIN or END."""
+        names = [f"__k{i}" for i in range(len(self.df.columns))]  # names of a result may repeat
+        df = self.df.toDF(*names)
+        cols = [F.col(n).alias(c) for n, c in zip(names, self.columns)]
+        if kind:
+            at = F.col(names[self.df.columns.index(self.kind)])
+            cols.append((at if kind == self.kind else at["end"]).alias(kind))
+        return df.select(*cols)
 
 
 @dataclass
@@ -90,19 +101,17 @@ class Lifter:
         if a.kind and a.slide != b.slide:
             raise WindowError(f"{op.upper()} of queries with slides of {a.slide} and {b.slide} ms")
         kind = WIN if a.kind == b.kind == WIN and a.width == b.width else END if a.kind else None
-        left, right = self._as_kind(a, kind), self._as_kind(b, kind)
-        names = [f"c{i}" for i in range(len(a.columns))] + ([kind] if kind else [])
+        timed = op == "union all" and not kind and a.stream and b.stream
+        if timed:  # streams united are a stream
+            left, right = _with_time(a), _with_time(b)
+        else:
+            left, right = a.only(kind), b.only(kind)
+        last = [kind] if kind else [TIME] if timed else []
+        names = [f"c{i}" for i in range(len(a.columns))] + last
         left, right = left.toDF(*names), right.toDF(*names)
         df = {"union all": lambda: left.union(right), "union": lambda: left.union(right).distinct(), "intersect": lambda: left.intersect(right), "except": lambda: left.subtract(right)}[op]()
-        return Lifted(df.toDF(*a.columns, *([kind] if kind else [])), a.columns, kind, a.width if kind == WIN else None, a.slide)
-
-    @staticmethod
-    def _as_kind(a: Lifted, kind: str | None) -> DataFrame:
-        df = a.df
-        visible = [df[c] for c in df.columns[: len(a.columns)]] if len(set(a.columns)) == len(a.columns) else None
-        if kind is None or a.kind == kind:
-            return df
-        return df.select(*visible, F.col(f"{WIN}.end").alias(END))
+        df = df.toDF(*a.columns, *last)
+        return Lifted(df, a.columns, kind, a.width if kind == WIN else None, a.slide, Stream(df, TIME, a.stream.batch) if timed else None)
 
     # -- relations -------------------------------------------------------------------------------------------
 
@@ -140,21 +149,10 @@ class Lifter:
                 got = self.resolve(r.name)
                 rel = Lifted(got.df, got.df.columns, stream=got) if isinstance(got, Stream) else Lifted(got, got.columns)
         if r.window:
-            if isinstance(r, Derived) and rel.stream is None and not rel.kind:
-                rel.stream = self._time_of(r.query, rel, env)
             rel = self.windowed(rel, r.window, r.name if isinstance(r, Table) else alias)
         at = f"{alias}.{rel.kind}" if rel.kind else ""
         return _Side(f"{self.view(rel.df)} AS {alias}", [(alias, rel.columns)], rel.kind, at, rel.width, rel.slide, rel, [alias] if rel.stream and not rel.kind else [])
 
-    def _time_of(self, q: Query, rel: Lifted, env: dict[str, Lifted]) -> Stream | None:
-        """A windowed subquery of one stream keeps that stream's time, if it selects it."""
-        b = q.first
-        if not isinstance(b, Block) or q.rest or not isinstance(b.source, Table) or b.group:
-            return None
-        got = env.get(b.source.name.strip("`").lower())
-        s = got.stream if got else self.resolve(b.source.name)
-        return Stream(rel.df, s.ts, s.batch) if isinstance(s, Stream) and s.ts in rel.columns else None
-
     def join(self, j: Join, env: dict[str, Lifted]) -> _Side:
         a, b = self.relation(j.left, env), self.relation(j.right, env)
         if isinstance(self.unwindowed, int) and a.streams and b.streams and not a.kind and not b.kind:
@@ -245,6 +243,9 @@ class Lifter:
         late = b.having is not None and not b.group and not self._aggregates(cols, frm)
         grouped = bool(b.group) or (side.kind is not None and self._aggregates(cols, frm))
         group = f" GROUP BY {text(b.group)}" if b.group else ""
+        timed = side.single is not None and side.single.stream is not None and not (side.kind or grouped or late or b.distinct or self._aggregates(cols, frm))
+        if timed:
+            cols.append(f"{side.parts[0][0]}.`{side.single.stream.ts}` AS {TIME}")
         if side.kind:
             cols.append(f"{side.at} AS {side.kind}")
             if grouped:
@@ -255,8 +256,8 @@ class Lifter:
             df = df.filter(text(b.having))
         n = len(items)
         out = Lifted(df, df.columns[:n], side.kind, side.width, side.slide)
-        if side.single and side.single.stream and not side.kind and not grouped and not b.distinct and side.single.stream.ts in out.columns:
-            out.stream = Stream(df, side.single.stream.ts, side.single.stream.batch)
+        if timed:
+            out.stream = Stream(df, TIME, side.single.stream.batch)
         return self._ordered(b, out, [name for name, _ in hidden])
 
     def _items(self, items: list[Item], side: _Side) -> list[Item]:
@@ -337,7 +338,7 @@ class Lifter:
             own = own.limit(n)
         keep = [i for i, c in enumerate(df.columns) if c not in hidden]
         out = own.select(*[names[i] for i in keep]).toDF(*[df.columns[i] for i in keep])
-        return Lifted(out, rel.columns, rel.kind, rel.width, rel.slide)
+        return Lifted(out, rel.columns, rel.kind, rel.width, rel.slide, rel.stream and Stream(out, rel.stream.ts, rel.stream.batch))
 
     def _by_panes(self, b: Block, side: _Side, items: list[Item]) -> Lifted | None:
         """A sliding aggregation of one stream by panes, if every item is a group or one mergeable aggregate."""
@@ -407,16 +408,19 @@ def _rollup(group: list[Token], text) -> str:
     return text(group)
 
 
+def _with_time(rel: Lifted) -> DataFrame:
+    names = [f"__k{i}" for i in range(len(rel.df.columns))]
+    df = rel.df.toDF(*names)
+    return df.select(*names[: len(rel.columns)], F.col(names[rel.df.columns.index(rel.stream.ts)]).alias(TIME))
+
+
 def visible(rel: Lifted) -> DataFrame:
     """The result as users see it: windowed ones begin with window_start (if there's one width) and window_end."""
     if rel.kind is None:
-        return rel.df
+        return rel.only() if len(rel.columns) < len(rel.df.columns) else rel.df
     names = [f"__k{i}" for i in range(len(rel.df.columns))]
     df = rel.df.toDF(*names)
     win = names[rel.df.columns.index(rel.kind)]
     times = [(f"{win}.start", "window_start"), (f"{win}.end", "window_end")] if rel.kind == WIN else [(win, "window_end")]
     shown = names[: len(rel.columns)]
     return df.select(*[F.col(c).alias(n) for c, n in times], *[F.col(c).alias(n) for c, n in zip(shown, rel.columns)])
-
-
-__all__ = ["HIDDEN", "Insert", "Lifted", "Lifter", "Stream", "end_of", "visible"]
