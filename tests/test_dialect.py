@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from windrose import StreamContext
@@ -127,6 +128,14 @@ def test_fallback_to_spark(ctx):
     assert ctx.sql("VALUES (1), (2)").count() == 2
 
 
+def test_helpers(ctx, spark):
+    row = spark.range(1).select(ctx.parse_expression("1 + 2 * 3").alias("a"), ctx.parse_expression("approximate count(distinct id)").over(Window.partitionBy()).alias("b")).first()
+    assert tuple(row) == (7, 1)
+    assert ctx.parse_table_identifier("db.`a.b`") == ("db", "a.b")
+    with pytest.raises(SyntaxProblem):
+        ctx.parse_table_identifier("a.")
+
+
 def test_script(ctx, spark, tmp_path):
     sink = MemorySink()
     ctx.register_sink("out", sink)

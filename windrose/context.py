@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from windrose.functions import JsonConverter
 from windrose.operators.durations import WindowError, span
-from windrose.plans.lexer import SyntaxProblem, statements
+from windrose.plans.lexer import SyntaxProblem, render, statements, tokens
 from windrose.plans.lift import Lifter, Stream, visible
 from windrose.plans.parser import Derived, Insert, Join, Lateral, Query, Table, has_window, parse
 from windrose.sinks import KafkaSink, Sink, TableSink
@@ -76,6 +76,18 @@ class StreamContext:
     def _resolve(self, name: str) -> Stream | DataFrame:
         return self.streams.get(name.strip("`").lower()) or self.spark.table(name)
 
+    def parse_expression(self, text: str) -> Column:
+        """An expression in the dialect's spelling as a column."""
+        return F.expr(render(Lifter(self.spark, self._resolve).expr(tokens(text))))
+
+    @staticmethod
+    def parse_table_identifier(text: str) -> tuple[str, ...]:
+        """The parts of a table's name."""
+        ts = tokens(text)
+        if len(ts) % 2 == 0 or any(t.text != "." if k % 2 else t.kind not in ("word", "quoted") for k, t in enumerate(ts)):
+            raise SyntaxProblem(f"no table name: {text}")
+        return tuple(t.text[1:-1].replace("``", "`") if t.kind == "quoted" else t.text for t in ts[::2])
+
     # -- JSON ------------------------------------------------------------------------------------------------
 
     def infer_json_schema(self, path: str, sampling_ratio: float = 1.0) -> StructType:
