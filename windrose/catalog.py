@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from windrose.context import StreamContext
 from windrose.functions import DelimiterConverter
+from windrose.shared import scratch
 from windrose.sinks import KeyValueSink, ParquetSink, ParquetStore
 from windrose.sources import replay
 
@@ -170,15 +170,15 @@ def _closed(spark: SparkSession, d: str) -> tuple[StreamContext, DataFrame]:
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     last = e.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp")).withColumn("event_type", F.lit("__last"))
     ctx = StreamContext(spark)
-    ctx.register_stream(replay(spark, e, f"{tempfile.mkdtemp(prefix='replay-')}/in", 5, "ts", last), "events", "ts")
+    ctx.register_stream(replay(spark, e, scratch(spark, "replay"), 5, "ts", last), "events", "ts")
     return ctx, e
 
 
 def _streamed(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         ctx, _ = _closed(spark, d)
-        out = f"{tempfile.mkdtemp(prefix='out-')}/out"
-        q = ctx.sql(text).start(ParquetSink(out), trigger={"availableNow": True}, checkpoint=tempfile.mkdtemp(prefix="chk-"))
+        out = scratch(spark, "out")
+        q = ctx.sql(text).start(ParquetSink(out), trigger={"availableNow": True}, checkpoint=scratch(spark, "query"))
         q.awaitTermination()
         got = spark.read.parquet(out).drop("batch")
         return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end") if c in got.columns}).filter("window_end < TIMESTAMP_NTZ '2090-01-01'")
@@ -188,7 +188,7 @@ def _streamed(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def insert_into_sink(spark: SparkSession, d: str) -> DataFrame:
     ctx = context(spark, d)
-    path = tempfile.mkdtemp(prefix="sink-") + "/out"
+    path = scratch(spark, "sink")
     ctx.register_sink("target", ParquetSink(path))
     ctx.sql("INSERT INTO TABLE target SELECT event_type, COUNT(*) AS n FROM events GROUP BY event_type")
     return spark.read.parquet(path).drop("batch")
@@ -197,7 +197,7 @@ def insert_into_sink(spark: SparkSession, d: str) -> DataFrame:
 def insert_overwrite_table(spark: SparkSession, d: str) -> DataFrame:
     ctx = context(spark, d)
     name = f"t_{uuid.uuid4().hex}"
-    path = tempfile.mkdtemp(prefix="table-") + "/t"
+    path = scratch(spark, "table")
     spark.sql(f"CREATE TABLE {name} (kind STRING, n STRING) USING parquet LOCATION '{path}'")
     for _ in range(2):  # the second run replaces the first
         ctx.sql(f"INSERT OVERWRITE TABLE {name} SELECT event_type, COUNT(*) FROM events GROUP BY event_type")
@@ -207,7 +207,7 @@ def insert_overwrite_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kv_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = tempfile.mkdtemp(prefix="kv-") + "/kv"
+    path = scratch(spark, "kv")
     got = context(spark, d).sql("SELECT event_type, COUNT(*) AS n FROM events OVER (WINDOW '60' MINUTES) t GROUP BY event_type")
     KeyValueSink("q1", ParquetStore(path), 60).write(got, 0)
     return spark.read.parquet(path).drop("batch")
@@ -222,7 +222,7 @@ def ddl_source(spark: SparkSession, d: str) -> DataFrame:
 def json_stream(spark: SparkSession, d: str) -> DataFrame:
     """JSON texts to rows; the schema comes from a sample."""
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "event_type")
-    path = tempfile.mkdtemp(prefix="json-") + "/sample"
+    path = scratch(spark, "json")
     events.limit(50).write.json(path)
     texts = events.select(F.to_json(F.struct("*")).alias("value"))
     return StreamContext(spark).json_stream(texts, path)

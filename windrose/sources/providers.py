@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -99,25 +99,15 @@ def replay(spark: SparkSession, df: DataFrame, folder: str, batches: int, order_
 
     last: rows of one more part, such as one whose time lies past all windows and so closes them.
     """
-    parts = df.withColumn("__part", F.ntile(batches).over(_whole(order_by)))
+    parts = df.withColumn("__part", F.ntile(batches).over(Window.orderBy(order_by)))  # for tests and small replays: one task sorts
     for k in range(1, batches + 1):
-        _one_file(parts.filter(F.col("__part") == k).drop("__part"), folder, k)
+        _one_file(parts.filter(F.col("__part") == k).drop("__part"), folder)
     if last is not None:
-        _one_file(last, folder, batches + 1)
+        _one_file(last, folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def _whole(order_by: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(order_by)  # a helper for tests and small replays: one task sorts
-
-
-def _one_file(df: DataFrame, folder: str, k: int) -> None:
-    made = f"{folder}/../{os.path.basename(folder)}-{k}"
-    df.coalesce(1).write.mode("overwrite").parquet(made)
-    os.makedirs(folder, exist_ok=True)
-    part = next(f for f in os.listdir(made) if f.startswith("part-"))
-    to = f"{folder}/{k:05d}.parquet"
-    os.replace(f"{made}/{part}", to)
-    os.utime(to, (1_600_000_000 + k, 1_600_000_000 + k))  # streams take files by their time
+def _one_file(df: DataFrame, folder: str) -> None:
+    """Streams take files by their time, so in the order of writing."""
+    df.coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(0.01)
