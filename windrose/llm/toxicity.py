@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 #: At most so many labelled rows are fitted to; of more, those with the lowest hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Features in fewer of the fitted texts are left out, and of the rest the most frequent so many are kept.
 MIN_TEXTS, MAX_FEATURES = 4, 400_000
 L2, PAIRING, STEPS = 1e-4, 1.0, 100
@@ -78,7 +78,7 @@ def swaps(text: str | None, groups: Sequence[Sequence[str]] = IDENTITY) -> list[
     return [(t, o) for t in sorted(found) for o in kinds[t] if o != t]
 
 
-def fit(texts: Sequence[set[str]], labels: Sequence[int], pairs: Sequence[tuple[str, str]] = (), *, groups: Sequence[Sequence[str]] = IDENTITY,
+def fit(texts: Iterable[Iterable[str]], labels: Sequence[int], pairs: Sequence[tuple[str, str]] = (), *, groups: Sequence[Sequence[str]] = IDENTITY,
         l2: float = L2, pairing: float = PAIRING, steps: int = STEPS, prune: float = PRUNE) -> Model:
     """Nesterov's method on the logistic loss, l2 and the pairing penalty.
 
@@ -86,14 +86,22 @@ def fit(texts: Sequence[set[str]], labels: Sequence[int], pairs: Sequence[tuple[
     model changes by the difference of their weights; pairs counts how often each swap can be made. One
     label alone gives a constant score of its rate, no rows one half.
     """
-    n = len(texts)
+    n = len(labels)
     if not n or len(set(labels)) < 2:
         return Model(0.0 if not n else 4.0 if labels[0] else -4.0)
-    seen = Counter(f for t in texts for f in t)
-    named = {f for g in groups for t in g for f in features(t)}
-    vocab = {f: i for i, (f, c) in enumerate(sorted(((f, c) for f, c in seen.items() if c >= MIN_TEXTS or f in named), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES])}
-    ids = [np.array([vocab[f] for f in sorted(t) if f in vocab], np.int32) for t in texts]
+    index: dict[str, int] = {}
+    ids = [np.array(sorted(index.setdefault(f, len(index)) for f in t), np.int32) for t in texts]
     col, row = np.concatenate(ids), np.repeat(np.arange(n, dtype=np.int32), [len(i) for i in ids])
+    del ids
+    named = {f for g in groups for t in g for f in features(t)}
+    count = np.bincount(col, minlength=len(index))
+    kept = sorted((f for f, i in index.items() if count[i] >= MIN_TEXTS or f in named), key=lambda f: (-count[index[f]], f))[:MAX_FEATURES]
+    vocab = {f: i for i, f in enumerate(kept)}
+    to = np.full(len(index), -1, np.int32)
+    to[[index[f] for f in kept]] = np.arange(len(kept))
+    del index
+    col = to[col]
+    col, row = col[col >= 0], row[col >= 0]
     y, m = np.asarray(labels, float), len(vocab)
     # Rare features speak louder: each is scaled by its inverse text frequency.
     scale = np.log1p(n / np.bincount(col, minlength=m).clip(1)) / np.log1p(n)
@@ -149,10 +157,10 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to distinct features and swaps, each as one string."""
+    """(key, text, label) to the key, distinct features and swaps, each as one string, and the label."""
     for b in batches:
-        out = [(" ".join(sorted(features(t))), " ".join(f"{a}:{o}" for a, o in swaps(t)), y) for t, y in _rows(b)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["f", "s", "y"])
+        out = [(k, " ".join(sorted(features(t))), " ".join(f"{a}:{o}" for a, o in swaps(t)), y) for k, t, y in _rows(b)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["k", "f", "s", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = FIT_ROWS, **kw) -> Model:
@@ -164,13 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     ids = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    some = text.join(F.broadcast(ids), "__id").select("__t", "__y")  # at most `rows` ids
-    got = some.mapInArrow(_fit_rows, "f string, s string, y int").toArrow()
-    texts = [set(f.as_py().split()) for f in got.column("f")]
-    order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), sorted(texts[i])[:8]))  # sums don't depend on how tasks ended
+    some = text.join(F.broadcast(ids), "__id").select(F.xxhash64("__id").alias("__k"), "__t", "__y")  # at most `rows` ids
+    got = some.mapInArrow(_fit_rows, "k long, f string, s string, y int").toArrow().sort_by("k")  # sums don't depend on how tasks ended
     pairs = [tuple(x.split(":")) for s in got.column("s") for x in s.as_py().split()]
-    y = got.column("y").to_pylist()
-    return fit([texts[i] for i in order], [y[i] for i in order], pairs, **kw)
+    texts = (f.as_py().split() for f in got.column("f"))
+    return fit(texts, got.column("y").to_pylist(), pairs, **kw)
 
 
 def _scorer(shared):
