@@ -112,6 +112,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     win = win.select("id", F.greatest("a.at", F.lit(0)).alias("at"), F.col("a.len").alias("len"), F.expr("slice(w, greatest(a.at, 0) + 1, greatest(least(a.len, a.len + a.at), 0))").alias("w"))
     win = win.filter("size(w) > 0").select("id", "at", "len", _shingles("w", shingle).alias("wsh"))
     win = with_fingerprint(win.withColumn("whs", F.transform("wsh", lambda s: F.xxhash64(s))), "whs", "wfp").drop("whs")
+    win = checkpoint(win)  # else filters on fingerprints are pushed below them and compute them again for each bit
     index = items.select("item", "len", "sh", "fp", F.explode(block_keys(F.col("fp"), n_blocks, True)).alias("k")).select("item", "len", "sh", "fp", "k.b", "k.v")
     probe = win.select("*", F.explode(block_keys(F.col("wfp"), n_blocks, False)).alias("k")).select("id", "at", "len", "wsh", "wfp", "k.b", "k.v")
     near = probe.join(broadcast_if(index, items.count() * (64 + n_blocks), BROADCAST_ROWS), ["len", "b", "v"]).filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius)
