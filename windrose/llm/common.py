@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrose.shared import shared_dir
+
 #: What separates words: space and the ASCII controls TAB to CR.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -23,24 +25,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """The words of a text as an array; empty for null and blank texts."""
-    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
-
+    """The words of a text as an array; empty for null and blank texts.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors see.
-
-    ``spark.checkpoint.dir`` is used as it is set. Where it is unset, local mode takes a temporary
-    folder (driver and executors are one process) and a cluster the warehouse, which is shared.
+    Texts whose words stand one space apart are split at that character, others by the pattern.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and sc.master.startswith("local") and "cluster" not in sc.master:
-            where = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return sc.getCheckpointDir()
+    bare = F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
+    odd = reduce(lambda a, b: a | b, [bare.contains(x) for x in ("  ", *SPACES[1:])])
+    return F.when(bare == "", F.array().cast("array<string>")).when(odd, F.split(bare, SPACE)).otherwise(F.split(bare, " "))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -52,3 +43,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def broadcast_if(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcasts a side whose counted rows are within ``limit``; beyond, Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int, limit: int, salt_by: list[str], salts: int = 64) -> DataFrame:
+    """A left join on a key that may hold most of the left rows; right has ``rows`` rows, one for each key.
+
+    Within ``limit`` the right side is broadcast. Beyond, it is repeated for each salt, and left rows are dealt
+    by key and salt.
+    """
+    if rows <= limit:
+        return left.join(F.broadcast(right), key, "left")
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).join(salted, [key, "__salt"], "left").drop("__salt")

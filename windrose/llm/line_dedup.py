@@ -7,7 +7,7 @@ one length that lack the same word position differ there at most, and all lines
 one deletion are one edit from it, so the earliest of each suffices.
 
 A line has as many variants as words, so only lines that can have a partner emit them: within one edit two
-lines agree in the words before or after the middle, and lines whose halves occur once have no partner.
+lines agree at one of their ends, and lines whose ends occur once have no partner.
 """
 
 from __future__ import annotations
@@ -30,15 +30,25 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The side with one row for each key: hashed by partition, so the other side isn't sorted."""
+    return df.hint("shuffle_hash")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _halves(w: str) -> Column:
-    """Keys under which a line meets every line within one word edit: for L words and for one less (as
-    the longer partner), the first L/2 words and the last L - L/2."""
-    key = "transform(array(size({w}), size({w}) - 1), n -> array(xxhash64(n, 0, slice({w}, 1, n div 2)), xxhash64(n, 1, slice({w}, size({w}) - (n - n div 2) + 1, n - n div 2))))"
-    return F.flatten(F.expr(key.format(w=w).replace("n div 2", "int(n div 2)")))
+def _ends(w: str, least: int) -> Column:
+    """Keys under which a line meets every line within one word edit: its first h and its last h words.
+
+    h is half the greatest power of two that isn't above the number of words, and at least half of ``least``. One
+    edit can't touch both ends, so two lines that have the same h share one. A line that is the shortest of
+    its h has the keys of the next smaller h too, for partners with one word less.
+    """
+    h = "greatest({least} div 2, int(pow(2, floor(log2({n})))) div 2)"
+    sizes = f"array_distinct(array({h.format(least=least, n=f'size({w})')}, {h.format(least=least, n=f'greatest(size({w}) - 1, {least})')}))"
+    return F.expr(f"flatten(transform(transform({sizes}, h -> int(h)), h -> array(xxhash64(h, 0, slice({w}, 1, h)), xxhash64(h, 1, slice({w}, size({w}) - h + 1, h)))))")
 
 
 _VARIANTS = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("pos", pa.int32()), ("key", pa.int64())])
@@ -103,16 +113,16 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     rows = text.select("id", F.posexplode(_lines(F.col("t"))).alias("line", "s")).filter(F.btrim("s", F.lit(SPACES)) != "")
     rows = rows.select("id", "line", words(F.lower(F.col("s"))).alias("w"))
-    rows = rows.select("id", "line", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.size("w"), "w").alias("h2"), F.when(F.size("w") >= min_words, _halves("w")).alias("halves"))
+    rows = rows.select("id", "line", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.size("w"), "w").alias("h2"), F.when(F.size("w") >= min_words, _ends("w", min_words)).alias("ends"))
     rows = checkpoint(rows)
     order = F.struct("id", "line")
     first = rows.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
 
-    # Halves that different lines share: of equal lines both hashes are equal.
-    half = rows.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
-    able = half.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    able = first.join(able, ["h1", "h2"], "left_semi").select("first.id", "first.line")
+    # Ends that different lines share: of equal lines both hashes are equal.
+    end = rows.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("ends").alias("end"))
+    shared = end.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end")
+    able = end.join(_small(shared), "end", "left_semi").select("h1", "h2").distinct()
+    able = first.join(_small(able), ["h1", "h2"], "left_semi").select("first.id", "first.line")
     lines = _fetch(text, able, [])
     hashed = lines.dropDuplicates(["id", "line"]).select("id", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     var = checkpoint(hashed.mapInArrow(_variants, "id long, line int, n int, pos int, key long"))
@@ -120,16 +130,16 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # the lines that become it by one deletion.
     least = var.filter("pos >= 0").groupBy("n", "key", "pos").agg(F.min(order).alias("by"), F.count("*").alias("c")).filter("c > 1").drop("c")
     meet = var.groupBy("n", "key").agg(F.min(F.when(F.col("pos") < 0, order)).alias("whole"), F.min(F.when(F.col("pos") >= 0, order)).alias("lacking")).dropna()
-    beaten = var.join(least, ["n", "key", "pos"]).select("id", "line", "by").unionByName(
-        var.join(meet, ["n", "key"]).select("id", "line", F.when(F.col("pos") < 0, F.col("lacking")).otherwise(F.col("whole")).alias("by")))
+    beaten = var.join(_small(least), ["n", "key", "pos"]).select("id", "line", "by").unionByName(
+        var.join(_small(meet), ["n", "key"]).select("id", "line", F.when(F.col("pos") < 0, F.col("lacking")).otherwise(F.col("whole")).alias("by")))
     pairs = checkpoint(beaten.filter(F.col("by") < order).groupBy("id", "line").agg(F.min("by").alias("by")))
     ends = pairs.select("id", "line", F.col("id").alias("of_id"), F.col("line").alias("of_line"), F.lit(0).alias("end")).unionByName(
         pairs.select(F.col("by.id").alias("id"), F.col("by.line").alias("line"), F.col("id").alias("of_id"), F.col("line").alias("of_line"), F.lit(1).alias("end")))
     words_of = _fetch(text, ends, ["of_id", "of_line", "end"]).groupBy("of_id", "of_line").agg(F.min_by("w", "end").alias("a"), F.max_by("w", "end").alias("b"))
     near = words_of.filter(within_one("a", "b")).select(F.struct(F.col("of_id").alias("id"), F.col("of_line").alias("line")).alias("first"), F.lit(True).alias("near"))
 
-    verdict = first.join(near, "first", "left").filter("copies > 1 OR near").select("h1", "h2", "first", "near")
-    gone = rows.select("id", "line", "h1", "h2").join(verdict, ["h1", "h2"]).filter((order != F.col("first")) | F.col("near"))
+    verdict = first.join(_small(near), "first", "left").filter("copies > 1 OR near").select("h1", "h2", "first", "near")
+    gone = rows.select("id", "line", "h1", "h2").join(_small(verdict), ["h1", "h2"]).filter((order != F.col("first")) | F.col("near"))
     return gone.select(F.col("id"), "line").distinct()
 
 
@@ -141,7 +151,7 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     columns stay, whatever their names. An empty table gives an empty result.
     """
     gone = find_repeats(df, id_col=id_col, text_col=text_col, min_words=min_words).groupBy("id").agg(F.collect_list("line").alias("__gone")).withColumnRenamed("id", "__of")
-    joined = df.join(gone, F.col(id_col).cast("long") == F.col("__of"), "left").drop("__of")
+    joined = df.join(_small(gone), F.col(id_col).cast("long") == F.col("__of"), "left").drop("__of")
     kept = F.expr("transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i))")
     names = [c for c in df.columns if c not in ("n_lines", "n_gone")]
     out = joined.withColumn("__ls", F.when(F.col("__gone").isNotNull(), _lines(F.col(text_col)))).withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
