@@ -13,11 +13,14 @@ library's merges would.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,8 @@ from windrose.shipping import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE = 400_000
+#: Words that a worker remembers of each kind.
+CACHE = 700_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -58,6 +62,19 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, tuple(byte[f"<0x{b:02X}>"] for b in range(256)), special)
 
 
+class _Words(dict):
+    """Words to the bytes of their ids (int32, as the machine has them); a word that is asked for first is encoded."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, w: str) -> bytes:
+        got = array("i", self.make(w)).tobytes()
+        if len(w) <= 64:
+            self[w] = got
+        return got
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -69,71 +86,70 @@ class Encoder:
                 raise ValueError(f"piece {text!r} spans words")
             self.auto.add_word(text, (len(text), i, score))
         self.auto.make_automaton()
-        self.known: dict[str, list[int]] = {}
         self.byte_score = vocabulary.byte_score
+        self.spaced = _Words(lambda w: self.word(SPACE + w))  # after a single space
+        self.bare = _Words(self.word)
+        #: No piece has a line feed, so lines are encoded on their own.
+        self.by_line = not any("\n" in t for t, *_ in vocabulary.pieces)
         self.text = {i: t.replace(SPACE, " ").encode() for t, i, _ in vocabulary.pieces}
         self.text |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
         self.text |= dict.fromkeys(vocabulary.special, b"")
 
     def word(self, w: str) -> list[int]:
         """The path of the highest score; of equal ones that of fewer pieces, then that whose last piece is longest."""
-        n = len(w)
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("-inf"), 0)] * n  # score, -pieces
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        n, low = len(w), self.byte_score
+        best, count = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+        back, piece = [0] * (n + 1), [-1] * (n + 1)
         done = 0
-        for end, (size, i, score) in self.auto.iter(w):
-            end += 1
-            while done < end - 1:  # positions up to here are settled
+        for last, (size, i, score) in self.auto.iter(w) if n else ():
+            while done <= last:  # bytes first; with them every position before this one has a path
+                k = 1 if w[done] < "\x80" else len(w[done].encode("utf-8", "surrogatepass"))
+                s, c = best[done] + k * low, count[done] + k
                 done += 1
-                self._bytes(w, done, best, back)
-            s, k = best[end - size]
-            if s > float("-inf"):
-                new = (s + score, k - 1)
-                if new > best[end] or new == best[end] and size > end - back[end][0]:
-                    best[end], back[end] = new, (end - size, i)
+                best[done], count[done], back[done] = s, c, done - 1
+            end = last + 1
+            start = end - size
+            s, c = best[start] + score, count[start] + 1
+            if s > best[end] or s == best[end] and (c < count[end] or c == count[end] and size > end - back[end]):
+                best[end], count[end], back[end], piece[end] = s, c, start, i
         while done < n:
+            k = 1 if w[done] < "\x80" else len(w[done].encode("utf-8", "surrogatepass"))
+            s, c = best[done] + k * low, count[done] + k
             done += 1
-            self._bytes(w, done, best, back)
+            best[done], count[done], back[done] = s, c, done - 1
         out: list[int] = []
         while n:
-            start, i = back[n]
-            out += [i] if i >= 0 else [self.v.byte_ids[b] for b in reversed(w[start:n].encode("utf-8", "surrogatepass"))]
+            start = back[n]
+            out += [piece[n]] if piece[n] >= 0 else [self.v.byte_ids[b] for b in reversed(w[start:n].encode("utf-8", "surrogatepass"))]
             n = start
         return out[::-1]
 
-    def _bytes(self, w: str, end: int, best: list, back: list) -> None:
-        """Relaxes ``end`` by the bytes of the character before it."""
-        n = len(w[end - 1].encode("utf-8", "surrogatepass"))
-        s, k = best[end - 1]
-        new = (s + n * self.byte_score, k - n)
-        if new > best[end]:
-            best[end], back[end] = new, (end - 1, -1)
-
     def encode(self, text: str) -> list[int]:
-        """A space stands before the text as before every word; decoding takes it off again. A text's own
-        characters that look like the space mark are written as bytes."""
+        return memoryview(self.packed(text)).cast("i").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as int32. A space stands before the text as before every word; decoding takes it off again. A
+        text's own characters that look like the space mark are written as bytes."""
         if not text:
-            return []
+            return b""
+        for known in (self.spaced, self.bare):
+            if len(known) > CACHE:
+                known.clear()
         if SPACE in text:
-            ids, mark = [], [self.v.byte_ids[b] for b in SPACE.encode()]
-            for k, part in enumerate((" " + text).split(SPACE)):
-                ids += (mark if k else []) + self._plain(part)
-            return ids
-        return self._plain(" " + text)
-
-    def _plain(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known, add = self.known, ids.extend
-        for w in _WORDS.findall(text.replace(" ", SPACE)):
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(w) <= 64:
-                    known[w] = got
-            add(got)
-        return ids
+            mark = array("i", [self.v.byte_ids[b] for b in SPACE.encode()]).tobytes()
+            return mark.join(self._lines(part) for part in (" " + text).split(SPACE))
+        return self._lines(" " + text)
+
+    def _lines(self, text: str) -> bytes:
+        if not self.by_line:
+            return self._line(text)
+        return array("i", [self.v.byte_ids[10]]).tobytes().join(map(self._line, text.split("\n")))
+
+    def _line(self, text: str) -> bytes:
+        if "  " in text or text.endswith(" "):
+            return b"".join(map(self.bare.__getitem__, _WORDS.findall(text.replace(" ", SPACE))))
+        first, *rest = text.split(" ")
+        return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, ids: list[int]) -> str:
         """Special ids are nothing; ids that aren't the vocabulary's raise KeyError."""
@@ -171,17 +187,14 @@ def _encoding(shared: Shared):
         for b in batches:
             for at in range(0, b.num_rows, 256):  # ids of many long texts at once would be large
                 part = b.slice(at, 256)
-                ids, ok = [], []
-                for t in part.column(1).to_pylist():
-                    got = None if t is None else e.encode(t)
-                    ids.append(None if got is None else pa.array(got, pa.int32()))
-                    ok.append(None if got is None else e.decode(got) == t)
-                offsets = [0]
-                for x in ids:
-                    offsets.append(offsets[-1] + (0 if x is None else len(x)))
-                flat = pa.concat_arrays([x for x in ids if x is not None] or [pa.array([], pa.int32())])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([x is None for x in ids]))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([x if x is None else len(x) for x in ids], pa.int32()), pa.array(ok, pa.bool_())], names=["id", "ids", "n_tokens", "exact"])
+                texts = part.column(1).to_pylist()
+                ids = [None if t is None else e.packed(t) for t in texts]
+                ok = [None if x is None else e.decode(memoryview(x).cast("i").tolist()) == t for x, t in zip(ids, texts)]
+                size = [0 if x is None else len(x) // 4 for x in ids]
+                flat = pa.Array.from_buffers(pa.int32(), sum(size), [None, pa.py_buffer(b"".join(x for x in ids if x))])
+                null = pa.array([x is None for x in ids], pa.bool_())
+                lists = pa.ListArray.from_arrays(pa.array([0, *accumulate(size)], pa.int32()), flat, mask=null)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pc.if_else(null, None, pa.array(size, pa.int32())), pa.array(ok, pa.bool_())], names=["id", "ids", "n_tokens", "exact"])
 
     return run
 
