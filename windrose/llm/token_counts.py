@@ -8,8 +8,8 @@ node stores the count. A text's count is the sum of its words' counts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -18,68 +18,79 @@ from pyspark.sql import functions as F
 
 from windrose.llm.pieces import _WORDS, MODEL, SPACE, Shared, Vocabulary, load
 
-#: Words that a worker remembers, and distinct words that go into one trie.
-CACHE, TRIE = 600_000, 100_000
+#: Words that a worker remembers of each kind, and characters of texts whose new words go into one trie.
+CACHE, CHARS = 1_000_000, 4_000_000
 
 
 class Counts:
     def __init__(self, vocabulary: Vocabulary):
-        self.score = {t: s for t, _, s in vocabulary.pieces}
+        #: Every end of a piece; its score if it is a piece itself, else None.
+        self.ends: dict[str, float | None] = {t[k:]: None for t, *_ in vocabulary.pieces for k in range(1, len(t))}
+        self.ends |= {t: s for t, _, s in vocabulary.pieces}
         self.byte_score = vocabulary.byte_score
-        self.longest = max(map(len, self.score), default=1)
-        self.ends: dict[str, list[int]] = {}  # lengths of the pieces that end with a character, short ones first
-        for t in self.score:
-            self.ends.setdefault(t[-1], []).append(len(t))
-        self.ends = {c: sorted(set(n)) for c, n in self.ends.items()}
-        self.known: dict[str, int] = {}
+        self.by_line = not any("\n" in t for t, *_ in vocabulary.pieces)
+        self.spaced: dict[str, int] = {}  # of words after a single space
+        self.bare: dict[str, int] = {}
         self.nodes = 0  # trie nodes scored so far
 
     def trie(self, words: Iterable[str]) -> dict[str, int]:
         """The number of tokens of each word; nodes below a shared prefix start from its scores."""
         out: dict[str, int] = {}
-        scores: list[tuple[float, int]] = [(0.0, 0)]  # best (score, -tokens) at each depth of the path
-        last = ""
+        best, count = [0.0], [0]  # score and tokens of the best path to each depth
+        last, ends, low = "", self.ends.get, self.byte_score
         for w in sorted(words):
             shared = len(commonprefix((last, w)))
-            del scores[shared + 1 :]
+            del best[shared + 1 :], count[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
                 c = w[end - 1]
-                n = len(c.encode("utf-8", "surrogatepass"))
-                s, k = scores[end - 1]
-                best = (s + n * self.byte_score, k - n)
-                for size in self.ends.get(c, ()):
-                    if size > end:
-                        break
-                    got = self.score.get(w[end - size : end])
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                s, k = best[-1] + n * low, count[-1] + n
+                for start in range(end - 1, -1, -1):
+                    got = ends(w[start:end], "")
+                    if got == "":
+                        break  # no piece ends like this
                     if got is not None:
-                        s, k = scores[end - size]
-                        if (new := (s + got, k - 1)) > best:
-                            best = new
-                scores.append(best)
-                self.nodes += 1
-            out[w] = -scores[len(w)][1]
+                        new = best[start] + got
+                        if new > s or new == s and count[start] + 1 < k:
+                            s, k = new, count[start] + 1
+                best.append(s)
+                count.append(k)
+            self.nodes += len(w) - shared
+            out[w] = count[-1]
             last = w
         return out
 
+    def _words(self, text: str) -> tuple[list[str], list[str], int]:
+        """Words after a single space, other words (with their own space marks), and tokens beside them.
+
+        A literal space mark is three bytes, as in encoding.
+        """
+        spaced: list[str] = []
+        bare: list[str] = []
+        parts = (" " + text).split(SPACE)
+        more = 3 * (len(parts) - 1)
+        for part in parts:
+            lines = part.split("\n") if self.by_line else [part]
+            more += len(lines) - 1
+            for line in lines:
+                if "  " in line or line.endswith(" "):
+                    bare += _WORDS.findall(line.replace(" ", SPACE))
+                else:
+                    first, *rest = line.split(" ")
+                    bare.append(first)
+                    spaced += rest
+        return spaced, bare, more
+
     def count(self, texts: list[str | None]) -> list[int | None]:
-        """Of each text; null for null. A literal space mark is three bytes, as in encoding."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        out: list[int | None] = []
-        for t in texts:
-            if not t:
-                out.append(None if t is None else 0)
-                continue
-            parts = (" " + t).split(SPACE) if SPACE in t else [" " + t]
-            total = 3 * (len(parts) - 1)
-            for p in parts:
-                words = Counter(_WORDS.findall(p.replace(" ", SPACE)))
-                new = [w for w in words if w not in self.known]
-                for at in range(0, len(new), TRIE):
-                    self.known |= self.trie(new[at : at + TRIE])
-                total += sum(self.known[w] * n for w, n in words.items())
-            out.append(total)
-        return out
+        """Of each text; null for null. All new words of the texts share one trie."""
+        cut = [self._words(t) if t else None for t in texts]
+        for k, known, mark in ((0, self.spaced, SPACE), (1, self.bare, "")):
+            if len(known) > CACHE:
+                known.clear()
+            new = set(chain.from_iterable(c[k] for c in cut if c)).difference(known)
+            known |= {w[len(mark) :]: n for w, n in self.trie([mark + w for w in new]).items()}
+        spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
+        return [(None if t is None else 0) if c is None else sum(map(spaced, c[0])) + sum(map(bare, c[1])) + c[2] for t, c in zip(texts, cut)]
 
 
 _COUNTS: dict[int, Counts] = {}
@@ -92,15 +103,17 @@ def _counting(shared: Shared):
             _COUNTS[shared.id] = Counts(shared.value)
         counts = _COUNTS[shared.id]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            # All new words of the batch share one trie.
-            new = {w for t in texts if t and SPACE not in t for w in _WORDS.findall((" " + t).replace(" ", SPACE))}
-            new = sorted(w for w in new if w not in counts.known)
-            if len(counts.known) > CACHE:
-                counts.known.clear()
-            for at in range(0, len(new), TRIE):
-                counts.known |= counts.trie(new[at : at + TRIE])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts.count(texts), pa.int64())], names=["id", "n_tokens"])
+            out: list[int | None] = []
+            some: list[str | None] = []
+            size = 0
+            for t in b.column(1):
+                some.append(t.as_py())
+                size += len(some[-1] or "")
+                if size > CHARS:
+                    out += counts.count(some)
+                    some, size = [], 0
+            out += counts.count(some)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=["id", "n_tokens"])
 
     return run
 
