@@ -68,8 +68,10 @@ def test_what_is_cut_and_kept(spark):
     assert got == sorted((i, want[i], len(want[i])) for i, *_ in pages)
 
 
-def test_style_tree_cuts_what_a_site_repeats(spark):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_style_tree_cuts_what_a_site_repeats(spark, monkeypatch, broadcast):
     """Pages without an article: one frame on all pages of a host, other text on each."""
+    monkeypatch.setattr(html_tree, "BROADCAST_NODES", broadcast)
     page = "<body><div class='top'><p>Welcome to us</p><p>Call now</p></div><div class='mid'><p>Story {0} begins</p><p>and {0} ends</p></div><div class='end'>All about us</div></body>"
     rows = [(i, "http://site/x", page.format(i)) for i in range(20)] + [(100 + i, f"http://other{i}/", page.format(i)) for i in range(3)] + [(200 + i, "http://copies/", page.format(1)) for i in range(20)]
     got = {r.page_id: r.text for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import checkpoint
+from windrose.llm.common import checkpoint, join_hot
 from windrose.llm.url_filter import url_host
 from windrose.shipping import ship
 
 #: A branch of less importance than this is cut, if its host has shown it on MIN_PAGES different pages.
 THRESHOLD, MIN_PAGES, GAMMA = 0.3, 8, 0.9
+#: Cut lists of so many nodes in all are broadcast; more are joined by host and salt.
+BROADCAST_NODES = 1_000_000
 
 _VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
@@ -246,14 +248,16 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
     Character references are decoded, white space inside a block becomes one space, blocks are joined by
     one line feed. Null, empty and markup-free pages are defined: null and empty give "", plain text is one
     block. A null url has the empty host. Copies of a page count once in the style tree, and repeated rows
-    each give their row. Pages are parsed where they are; only hashes are shuffled, and the join brings
-    each page its host's cut list (paths of one host's design, not of its pages).
+    each give their row. Pages are parsed where they are and only hashes are shuffled; the join brings each
+    page its host's cut list (paths of one host's design, not of its pages).
     """
     ship(df.sparkSession)
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host"))
     kind = df.schema[id_col].dataType.simpleString()
     scores = importance(pages.select("host", "html"))
     low = scores.filter((F.col("pages") >= min_pages) & (F.col("score") < threshold)).groupBy("host").agg(F.collect_set("node").alias("low"))
-    joined = pages.join(low, "host", "left").select("id", "url", "html", "low")
+    low = checkpoint(low)
+    nodes = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    joined = join_hot(pages, low, "host", nodes, BROADCAST_NODES, ["id", "url"]).select("id", "url", "html", "low")
     out = joined.mapInArrow(_extract, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
