@@ -155,6 +155,6 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     kept = F.expr("transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i))")
     names = [c for c in df.columns if c not in ("n_lines", "n_gone")]
     out = joined.withColumn("__ls", F.when(F.col("__gone").isNotNull(), _lines(F.col(text_col)))).withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.length(text_col) - F.length(F.translate(F.col(text_col), "\n", "")) + 1)
+    lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.coalesce("__ls", _lines(F.col(text_col)))))
     cols = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in names]
     return out.select(*cols, lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_gone"))
