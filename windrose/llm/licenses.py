@@ -82,8 +82,8 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     # A text without a rare term isn't split into lines; its lines could not reach the cosine through common terms.
     hint = "(?i)(" + "|".join(t.replace(".", r"\.") for t in rare) + ")"
     lines = files.filter(F.col("text").rlike(hint)).select("path", "is_file", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.filter(F.col("line").rlike(hint)).select("path", "is_file", "line", F.filter(terms(F.col("line")), lambda x: x.isin(vocabulary)).alias("t"), F.size(terms(F.col("line"))).alias("size"))
-    lines = lines.filter(F.arrays_overlap("t", F.array(*map(F.lit, rare))))
+    lines = lines.filter(F.col("line").rlike(hint)).select("path", "is_file", "line", F.filter(terms(F.col("line")), lambda x: x.isin(vocabulary)).alias("t"))
+    lines = checkpoint(lines.filter(F.arrays_overlap("t", F.array(*map(F.lit, rare)))).drop("line"))
     # Equal statements are scored once, however many files have them.
     said = lines.select(F.array_sort("t").alias("t")).distinct()
     vector = said.select("t", F.explode("t").alias("term")).groupBy("t", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term").select("t", "term", (F.col("tf") * F.col("idf")).alias("w"))
