@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrose.llm.common import checkpoint
+from windrose.llm.common import checkpoint, join_hot
 
 #: Statements as they stand in headers, one or more for each licence.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -40,6 +40,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 COSINE = 0.7
 #: A line is compared only if it has a term of this kind: templates' terms in at most so large a share of all texts.
 RARE = 0.1
+#: So many directories with a licence are broadcast; more are joined by directory and salt.
+BROADCAST_DIRS = 500_000
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.\-][^/]*)?$"
 _SPLIT = r"[^\p{L}\p{N}.]+|\.(?![0-9])"
 
@@ -102,6 +104,7 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     above = dirs.select("of", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("dir")))).alias("a"))
     near = above.select("of", "a.depth", "a.dir").join(holds, "dir").groupBy("of").agg(F.max(F.struct("depth", "license")).alias("n")).select("of", F.col("n.license").alias("inherited"))
     every = files.select("path").distinct().withColumn("of", folder(F.col("path")))
-    out = every.join(own.select("path", "own", "cosine"), "path", "left").join(near, "of", "left")
+    near = checkpoint(near)
+    out = join_hot(every.join(own.select("path", "own", "cosine"), "path", "left"), near, "of", near.count(), BROADCAST_DIRS, ["path"])
     source = F.when(F.col("own").isNotNull(), F.lit("own")).when(F.col("inherited").isNotNull(), F.lit("inherited"))
     return out.select("path", "own", "cosine", F.coalesce("own", "inherited").alias("license"), source.alias("source"))
