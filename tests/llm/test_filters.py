@@ -1,6 +1,7 @@
 """URL filter, HTML extraction, quality rules, licence scan."""
 
 import html
+import random
 import re
 
 import pytest
@@ -121,6 +122,28 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_common_licenses_and_small_tables(spark):
+    """A statement that a third of the files share, and one of few files: their terms are in many texts."""
+    files = [(f"a{i}/x", "code\nReleased under the MIT License.\nmore" if i % 3 == 0 else "the code under a license") for i in range(60)]
+    got = {r.path: (r.own, r.cosine) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {p: ("MIT", 1.0) if "MIT" in t else (None, None) for p, t in files}
+    few = [("a/LICENSE", "Released under the MIT License."), *((f"a/{i}", "plain") for i in range(3))]
+    got = {r.path: (r.own, r.license) for r in licenses.scan(spark.createDataFrame(few, "path string, text string")).collect()}
+    assert got == {"a/LICENSE": ("MIT", "MIT")} | {f"a/{i}": (None, "MIT") for i in range(3)}
+
+
+def test_needed_terms_rule_out_no_match():
+    """Lines without a needed term of any template stay below the cosine, whatever their weights are."""
+    r = random.Random(6)
+    for _ in range(200):
+        terms = [f"t{k}" for k in range(6)]
+        n = {t: r.randrange(50) for t in terms}
+        raw = {k: {t: r.random() for t in r.sample(terms, r.randrange(1, 6))} for k in range(3)}
+        unit = {k: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for k, v in raw.items()}
+        needed = set(licenses._needed([(k, t, w) for k, v in unit.items() for t, w in v.items()], n, 0.7))
+        assert all(sum(w * w for t, w in v.items() if t not in needed) ** 0.5 < 0.7 for v in unit.values())
+
+
 def test_license_statements_of_documents(spark, real):
     got = {r.doc_id: r.own for r in catalog.op7_license_scan(spark, SF).collect()}
     kinds = {"apache license": "Apache-2.0", "the mit license": "MIT", "gnu general public": "GPL-3.0", "cc by-nc": "CC-BY-NC-4.0"}

@@ -38,8 +38,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 #: Least cosine of a line to a template.
 COSINE = 0.7
-#: A line is compared only if it has a term of this kind: templates' terms in at most so large a share of all texts.
-RARE = 0.1
 #: So many directories with a licence are broadcast; more are joined by directory and salt.
 BROADCAST_DIRS = 500_000
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([.\-][^/]*)?$"
@@ -57,6 +55,21 @@ def _templates(spark: SparkSession, templates) -> DataFrame:
     return t.groupBy("template", "license", "term").agg(F.count("*").cast("double").alias("tf"))
 
 
+def _needed(weights: list[tuple[int, str, float]], n: dict[str, int], cosine: float) -> list[str]:
+    """Terms of which a line must have one to reach the cosine, from (template, term, weight) of unit length.
+
+    A line that shares the terms S with a template has at most the cosine sqrt(sum of S's squared weights), however
+    it weighs them. So each template's commonest terms are left out as long as they can't reach the cosine.
+    """
+    left: dict[int, float] = {}
+    needed = set()
+    for k, term, w in sorted(weights, key=lambda x: (-n.get(x[1], 0), x[1])):
+        left[k] = left.get(k, 0.0) + w * w
+        if left[k] >= (cosine - 1e-5) ** 2:  # the cosine is rounded to six digits
+            needed.add(term)
+    return sorted(needed)
+
+
 def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, cosine: float = COSINE, is_file: Column | None = None) -> DataFrame:
     """path, own (licence of the file's best line), cosine, license (own, else inherited), source ('own',
     'inherited' or null) of every row with a path.
@@ -76,16 +89,16 @@ def scan(df: DataFrame, *, path_col: str = "path", text_col: str = "text", templ
     n = {r.term: r.n for r in counted}  # one row for each word of the templates
     total = n.get("", 0)
     idf = spark.createDataFrame([(t, n.get(t, 0)) for t in vocabulary], "term string, n long").select("term", (F.log((F.lit(1.0) + total) / (1 + F.col("n"))) + 1).alias("idf"))
-    rare = [t for t in vocabulary if n.get(t, 0) <= RARE * max(1, total)] or vocabulary
     weights = tf.join(F.broadcast(idf), "term").select("template", "license", "term", (F.col("tf") * F.col("idf")).alias("tw"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
     weights = weights.join(F.broadcast(norms), "template").select("template", "license", "term", (F.col("tw") / F.col("tn")).alias("tw"))
+    needed = _needed([(r.template, r.term, r.tw) for r in weights.select("template", "term", "tw").collect()], n, cosine)  # a row for each word of a template
 
-    # A text without a rare term isn't split into lines; its lines could not reach the cosine through common terms.
-    hint = "(?i)(" + "|".join(t.replace(".", r"\.") for t in rare) + ")"
+    # A text without a needed term isn't split into lines.
+    hint = "(?i)(" + "|".join(t.replace(".", r"\.") for t in needed) + ")"
     lines = files.filter(F.col("text").rlike(hint)).select("path", "is_file", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.filter(F.col("line").rlike(hint)).select("path", "is_file", "line", F.filter(terms(F.col("line")), lambda x: x.isin(vocabulary)).alias("t"))
-    lines = checkpoint(lines.filter(F.arrays_overlap("t", F.array(*map(F.lit, rare)))).drop("line"))
+    lines = checkpoint(lines.filter(F.arrays_overlap("t", F.array(*map(F.lit, needed)))).drop("line"))
     # Equal statements are scored once, however many files have them.
     said = lines.select(F.array_sort("t").alias("t")).distinct()
     vector = said.select("t", F.explode("t").alias("term")).groupBy("t", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf), "term").select("t", "term", (F.col("tf") * F.col("idf")).alias("w"))
