@@ -71,6 +71,23 @@ def test_leaks_against_brute_force(spark, make):
     assert decontaminate.drop_leaks(docs, bench.limit(0)).count() == len(texts)
 
 
+def test_leaks_of_windows_between_and_beside_shared_shingles(spark, make):
+    """Windows that begin where no shared shingle places the item's start can be the only ones that pass."""
+    w = [f"i{k}" for k in range(59)]
+    pad = [f"p{k}" for k in range(30)]
+    texts = [
+        [*pad, "x", *w[1:29], "y", "y", *w[29:58], "x", *pad],  # two words more in the middle: the window between both parts' starts
+        [*pad, *"xxxxx", *w[5:54]],  # the document ends before the copy does
+        [*w[5:54], *"xxxxx", *pad],  # the document begins after the copy does
+        [*pad, *w[30:], *w[:30], *pad],  # halves swapped
+        [*pad, *w[:30], *pad],
+    ]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    items = {7: " ".join(w)}
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.find_leaks(make(list(texts.values())), spark.createDataFrame([*items.items()], "item_id long, text string")).collect()}
+    assert got == leaks(texts, items) and set(got) == {(i, 7) for i in range(4)}
+
+
 def test_block_index_finds_all_within_the_radius(spark):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(40)]

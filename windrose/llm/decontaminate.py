@@ -1,8 +1,9 @@
 """Benchmark decontamination: windows as long as each item, SimHash fingerprints, exact verification.
 
-1. A word position matters only if the shingle that begins there is one of the benchmark's. Every other
-   window shares no shingle with any item, has similarity 0 and can't pass step 4, so dropping it loses
-   nothing. Each shared shingle fixes where an item's copy would begin: that item-sized window is kept.
+1. A word position is a hit for a length if the shingle that begins there is one of an item of that length.
+   A window passes step 4 only if it shares SIMILARITY of the item's n shingles, each at a position of its own,
+   so every item-sized window with that many hits is kept, wherever it begins, and dropping the others loses
+   nothing.
 2. Windows and items get 64-bit SimHash fingerprints of their shingles, repeats counted.
 3. A multi-index finds all item fingerprints within RADIUS: of N_BLOCKS blocks at least one differs in at
    most one bit (RADIUS < 2 x N_BLOCKS), so items are listed under each block's value and its one-bit
@@ -77,6 +78,19 @@ def common_count(a: str, b: str) -> Column:
     return F.expr(f"if({plain}, size(array_intersect({a}, {b})), {many})")
 
 
+def _starts(shingle: int, similarity: float) -> Column:
+    """Where windows of ``len`` words begin that hold enough of the sorted hits p.
+
+    Any m hits in a row that span less than n positions are held by the windows that begin from n - 1 before the
+    last of them to the first; what begins at or before the hit that precedes them is given by that one's run.
+    """
+    n = f"greatest(len - {shingle - 1}, 1)"
+    m = f"greatest(int(ceil({similarity!r}D * {n} - 1e-6D)), 1)"
+    runs = f"filter(sequence(0, greatest(size(p) - {m}, 0)), i -> get(p, i + {m} - 1) - get(p, i) < {n})"
+    first = f"get(p, i + {m} - 1) - {n} + 1"
+    return F.expr(f"flatten(transform({runs}, i -> transform(sequence(greatest({first}, coalesce(get(p, i - 1) + 1, {first})), get(p, i)), s -> struct(s AS at, len AS len))))")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, n_blocks: int = N_BLOCKS) -> DataFrame:
     """One row for each document and benchmark item that it holds a copy of:
@@ -98,14 +112,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     found = None
     for k in widths:
         of = items.filter(F.col("len") >= k if k == shingle else F.col("len") == k)
-        starts = of.select("len", F.posexplode(_hashes("wh", k)).alias("off", "h")).distinct()
+        starts = of.select("len", F.explode(_hashes("wh", k)).alias("h")).distinct()
         seen = text.select("id", words(F.col("t")).alias("w")).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
         seen = seen.select("id", F.posexplode(_hashes("wh", k)).alias("pos", "h"))
-        hits = seen.join(broadcast_if(starts, starts.count(), BROADCAST_ROWS), "h").select("id", (F.col("pos") - F.col("off")).alias("at"), "len")
+        hits = seen.join(broadcast_if(starts, starts.count(), BROADCAST_ROWS), "h").select("id", "pos", "len")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {benchmark.schema[item_col].dataType.simpleString()}, first_word int, n_words int, similarity double")
-    anchors = checkpoint(found.distinct().groupBy("id").agg(F.collect_list(F.struct("at", "len")).alias("anchors")))
+    hit = found.groupBy("id", "len").agg(F.sort_array(F.collect_set("pos")).alias("p")).select("id", _starts(shingle, similarity).alias("a"))
+    anchors = checkpoint(hit.filter("size(a) > 0").groupBy("id").agg(F.flatten(F.collect_list("a")).alias("anchors")))
 
     held = text.join(broadcast_if(anchors, anchors.count(), BROADCAST_ROWS // 10), text.id.eqNullSafe(anchors.id)).select(text.id, words(F.col("t")).alias("w"), "anchors")
     win = held.select("id", "w", F.explode("anchors").alias("a"))
