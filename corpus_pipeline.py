@@ -26,8 +26,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, that with the least id."""
+    return simhash.keep_one(docs, similarity=simhash.SIMILARITY).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,6 +223,29 @@ def test_links_of_dense_groups(spark):
     assert len({got[f] for g in groups.values() if len(g) > 1 for f in g}) == sum(len(g) > 1 for g in groups.values())
 
 
+@pytest.mark.parametrize("shard", [2, 1024])
+def test_near_copies_against_brute_force(spark, make, shard):
+    """The pipeline's stage: Jaccard similarity of 0.8, at which some ten bits differ."""
+    r = random.Random(8)
+    texts = []
+    for n in (3, 30, 60, 60, 200, 400):
+        w = prose(n, r)
+        texts += [" ".join(edited(w, e, r) if e else w) for e in (0, 0, n // 120, n // 60, n // 45, n // 30)]
+    texts += [None, "", " ".join(prose(9_000, r))]
+    ids = [7 * i % 1009 for i in range(len(texts))]
+    sets = {i: set(shingles((t or "").lower().split())) for i, t in zip(ids, texts)}
+    up = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = {i: min(x, y) if u in (x, y) else u for i, u in up.items()}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(make(texts, ids), shard=shard).collect()}
+    assert got == up
+    kept = simhash.keep_one(make(texts, ids), similarity=0.8)
+    assert {x.doc_id for x in kept.collect()} == set(up.values()) < set(components({i: naive(t) for i, t in zip(ids, texts)}, 2).values())
+
+
 def test_tree_against_all_pairs():
     r = random.Random(4)
     xs = [r.getrandbits(12) for _ in range(400)]

@@ -6,6 +6,10 @@ BK-tree: a child hangs on the edge named by its Hamming distance to the parent,
 edges within RADIUS of its own distance. Shards of more than SHARD fingerprints are cut into parts, and the tree
 of each part is sent to every later part's fingerprints, so no task holds more than two parts. A tree task returns
 the links that join something new (a spanning forest), never all pairs, and components grow by star contraction.
+
+Near copies by similarity (``near_copies``) are too many bits apart for blocks: at 0.8 some 10 of 64, and up to 24.
+There fingerprints share a shard if they share a band of MinHash values, a shard's tree is searched within
+COPY_RADIUS, and what it finds is a link only if the exact Jaccard similarity of the shingle sets suffices.
 """
 
 from __future__ import annotations
@@ -19,10 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import checkpoint
+from windrose.llm.common import broadcast_if, checkpoint
 from windrose.shipping import ship
 
 SHINGLE, RADIUS, SHARD = 3, 2, 1024
+#: Of near copies: shingle words, least Jaccard similarity, bits searched. Of texts of that similarity 5 in 10^8 share no band.
+COPY_SHINGLE, SIMILARITY, COPY_RADIUS, BANDS, BAND_ROWS = 5, 0.8, 24, 32, 4
+#: Bytes of shingle sets in a part of a shard.
+PART_BYTES = 32 << 20
+#: Texts that are broadcast by id to fetch their shingles; more are joined by shuffle.
+BROADCAST_ROWS = 400_000
 _CHUNK = 1 << 16
 
 
@@ -75,18 +85,17 @@ class BKTree:
                 return
             node = child
 
-    def near(self, x: int, radius: int) -> list[int]:
-        found, todo = [], [self.root] if self.root else []
+    def near(self, x: int, radius: int) -> Iterator[int]:
+        todo = [self.root] if self.root else []
         while todo:
             value, kids = todo.pop()
             d = (value ^ x).bit_count()
             if d <= radius:
-                found.append(value)
+                yield value
             if len(kids) > 2 * radius + 1:
                 todo += [kids[e] for e in range(d - radius, d + radius + 1) if e in kids]
             else:
                 todo += [c for e, c in kids.items() if -radius <= e - d <= radius]
-        return found
 
 
 def _forest(mine: list[int], other: list[int] | None, radius: int) -> list[tuple[int, int]]:
@@ -182,10 +191,157 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return each.join(of, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def shingle_set(text: str | None, k: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted XXH64 of the distinct k-word shingles, of words as in ``simhash``."""
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(np.array([xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))] if w else [], np.uint64))
+
+
+def _sketches(k: int):
+    """(id, text) to id, key of the shingle set, its size, SimHash of the set, MinHash bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        by = np.random.default_rng(7).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for b in batches:
+            keys, sizes, fps, bands = [], [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, k)
+                counts, least = np.zeros(64, np.int64), np.full(len(by), (1 << 64) - 1, np.uint64)
+                for at in range(0, len(s), 4096):
+                    h = s[at : at + 4096]
+                    counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    least = np.minimum(least, (h[:, None] * by).min(axis=0))
+                keys.append(xxh64_intdigest(s.tobytes(), 1))
+                sizes.append(len(s))
+                fps.append(np.packbits(2 * counts > len(s), bitorder="little").view("<u8")[0])
+                bands.append(np.array([xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), pa.array(sizes, pa.int64()), signed(fps), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "size", "fp", "bands"])
+
+    return run
+
+
+def _sets(k: int):
+    """(key, text) to key, shingle set; texts of another key are left out: they only share the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            sets = [(key, shingle_set(t, k).tobytes()) for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            sets = [(key, x) for key, x in sets if xxh64_intdigest(x, 1) == key & (1 << 64) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], names=["key", "s"])
+
+    return run
+
+
+def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common)
+
+
+def _copies(mine: list[tuple], other: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """As ``_forest``, of (key, fingerprint, set): links that are similar, too. What is one component isn't compared again."""
+    tree, at, up, out = BKTree(), {}, {}, []
+    trees = 0  # components among the tree's members
+
+    def top(x: int) -> int:
+        while (p := up.get(x, x)) != x:
+            up[x] = x = up.get(p, p)
+        return x
+
+    def link(key: int, fp: int, s: np.ndarray) -> bool:
+        nonlocal trees
+        linked = False
+        for f in tree.near(fp, radius):
+            for k, t in at[f]:
+                if (a := top(key)) != (b := top(k)) and _similar(s, t, similarity):
+                    up[a] = b
+                    out.append((key, k))
+                    trees -= linked
+                    linked = True
+                    if trees == 1:
+                        return True
+        return linked
+
+    for key, fp, s in mine:
+        trees += not (other is None and link(key, fp, s))
+        tree.add(fp)
+        at.setdefault(fp, []).append((key, s))
+    for x in other or ():
+        link(*x)
+    return out
+
+
+def _verify(radius: int, similarity: float):
+    """Rows (v, i, j, key, fp, part, s) that are sorted by shard and parts, to links."""
+
+    def solve(job: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        mask = (1 << 64) - 1
+        part = [[(k, fp & mask, np.frombuffer(s, np.uint64)) for k, fp, p, s in rows if p == q] for q in job[1:]]
+        return _copies(part[0], part[1] if job[1] != job[2] else None, radius, similarity)
+
+    def batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, rows = None, []
+        for b in batches:
+            links: list[tuple[int, int]] = []
+            for x in zip(*(c.to_pylist() for c in b.columns)):
+                if x[:3] != job:
+                    links += solve(job, rows) if rows else []
+                    job, rows = x[:3], []
+                rows.append(x[3:])
+            yield batch(links)
+        if rows:
+            yield batch(solve(job, rows))
+
+    return run
+
+
+def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY, radius: int = COPY_RADIUS, shard: int = SHARD) -> DataFrame:
+    """id, component_id (the least id that is reachable) of the rows with an id.
+
+    Texts are linked if their sets of ``shingle``-word shingles have Jaccard similarity ``similarity`` or more;
+    fewer words are one shingle, and texts without words are equal. Rows without an id link nothing.
+    """
+    ship(df.sparkSession)
+    text = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    each = checkpoint(text.mapInArrow(_sketches(shingle), f"id {df.schema[id_col].dataType.simpleString()}, key long, size long, fp long, bands array<long>"))
+    distinct = checkpoint(each.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    keyed = distinct.select("key", "least", "size", "fp", F.explode("bands").alias("v"))
+    shards = keyed.groupBy("v").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.expr("bit_xor(key)").alias("x"), F.expr("bit_xor(xxhash64(key))").alias("y")).filter("n > 1")
+    # Shards of the same members are searched once.
+    shards = shards.groupBy("n", "size", "x", "y").agg(F.min("v").alias("v")).select("v", F.greatest(F.ceil(F.col("n") / shard), F.ceil(8 * F.col("size") / PART_BYTES)).cast("int").alias("k"))
+    held = checkpoint(keyed.drop("size").join(shards, "v").withColumn("part", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")))
+    want = checkpoint(held.select("least", "key").distinct())
+    sets = text.join(broadcast_if(want, want.count(), BROADCAST_ROWS), F.col("id") == F.col("least")).select("key", "t").mapInArrow(_sets(shingle), "key long, s binary").dropDuplicates(["key"])
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    jobs = held.join(sets, "key").select("v", "key", "fp", "part", "s", F.explode(pairs).alias("p")).select("v", "p.i", "p.j", "key", "fp", "part", "s")
+    found = jobs.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(_verify(radius, similarity), "a long, b long").distinct()
+    roots = components(found)
+    rooted = distinct.join(roots, distinct.key == roots.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = rooted.select("key", "root").join(names, "root").select("key", "component_id")
+    return each.select("id", "key").join(of, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kw) -> DataFrame:
     """The rows whose id names their component, all columns as they were; rows without an id stay.
 
-    Rows that share such an id all stay: they are one document.
+    Components are those of ``near_copies`` if a similarity is given, else of ``near_duplicates``. Rows that share
+    such an id all stay: they are one document.
     """
-    of = near_duplicates(df, id_col=id_col, text_col=text_col, **kw).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    if similarity is not None:
+        of = near_copies(df, id_col=id_col, text_col=text_col, similarity=similarity, **kw)
+    else:
+        of = near_duplicates(df, id_col=id_col, text_col=text_col, **kw)
+    of = of.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     return df.join(of, F.col(id_col) == F.col("__gone"), "left_anti")
