@@ -234,3 +234,21 @@ def test_random_texts_never_crash_the_lexer():
         except (SyntaxProblem, WindowError):
             pass
     assert isinstance(parse("SELECT 1"), Query)
+
+
+def test_averages_of_large_numbers_by_panes(spark):
+    c = StreamContext(spark)
+    c.register_stream(spark.createDataFrame([(at(k), 2**62) for k in range(6)], "ts timestamp_ntz, v long"), "big", "ts")
+    got = c.sql("SELECT AVG(v) AS m FROM big OVER (WINDOW '4' SECONDS, SLIDE '2' SECONDS) t")
+    assert {r.m for r in got.collect()} == {2.0**62}
+
+
+def test_tables_of_spark_itself(spark):
+    c = StreamContext(spark)
+    c.command("DROP TABLE IF EXISTS own_t; CREATE TABLE own_t (a int) USING parquet; INSERT INTO own_t SELECT 3 AS a")
+    assert [r.a for r in c.sql("SELECT a FROM own_t").collect()] == [3]
+    c.command("DROP TABLE own_t")
+
+
+def test_tab_converter():
+    assert converter("tab").delimiter == "\t" and converter("org.x.TabConverter").delimiter == "\t"

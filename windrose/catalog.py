@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from windrose.context import StreamContext
 from windrose.functions import DelimiterConverter
-from windrose.shared import scratch
+from windrose.shared import remove, scratch
 from windrose.sinks import KeyValueSink, ParquetSink, ParquetStore
 from windrose.sources import replay
 
@@ -50,7 +50,7 @@ BOUNDS = "ws AS window_start, we AS window_end"
 PLAIN: dict[str, tuple[str, str | None]] = {
     # projection, filter, expressions
     "proj_filter": ("SELECT event_id AS id, user_id u, value * 2 AS v2 FROM events AS e WHERE e.value > 50 AND NOT (event_type = 'view')", "SELECT event_id AS id, user_id AS u, value * 2 AS v2 FROM events WHERE value > 50 AND NOT (event_type = 'view')"),
-    "select_star": ("SELECT e.*, 1 AS one FROM events e WHERE e.event_id % 7 = 0", "SELECT e.*, 1 AS one FROM events e WHERE event_id % 7 = 0"),
+    "select_star": ("SELECT e.*, 1 AS one FROM events e", "SELECT e.*, 1 AS one FROM events e"),
     "predicates_all": (
         "SELECT event_id FROM events WHERE (value BETWEEN 10 AND 90) AND value NOT BETWEEN 40 AND 45 AND event_type IN ('view', 'click', 'error') AND event_type NOT IN ('error') AND event_type LIKE '%i%' AND event_type NOT LIKE 'x%' AND event_type RLIKE '^[vc]' AND event_type REGEXP 'i' AND props IS NOT NULL AND NOT (ts IS NULL) AND user_id <=> user_id AND user_id >= 1 AND user_id != 3 AND user_id <> 4",
         "SELECT event_id FROM events WHERE value BETWEEN 10 AND 90 AND value NOT BETWEEN 40 AND 45 AND event_type IN ('view', 'click') AND event_type LIKE '%i%' AND regexp_matches(event_type, '^[vc]') AND props IS NOT NULL AND ts IS NOT NULL AND user_id >= 1 AND user_id NOT IN (3, 4)"),
@@ -97,6 +97,8 @@ PLAIN: dict[str, tuple[str, str | None]] = {
     "sliding_where": (f"SELECT event_type, COUNT(*) AS c FROM {E180} t WHERE t.value > 50 GROUP BY event_type", f"WITH {E180T} SELECT {BOUNDS}, event_type, count(*) AS c FROM h WHERE value > 50 GROUP BY ALL"),
     "window_unaligned": ("SELECT event_type, COUNT(*) AS c FROM events OVER (WINDOW '540' MINUTES, SLIDE '360' MINUTES) t GROUP BY event_type", f"WITH {_win('events', 'ts', 540, 360, 'h')} SELECT {BOUNDS}, event_type, count(*) AS c FROM h GROUP BY ALL"),
     "window_long": ("SELECT event_type, COUNT(*) AS c, MIN(value) AS lo FROM events OVER (WINDOW '1440' MINUTES, SLIDE '60' MINUTES) t GROUP BY event_type", f"WITH {_win('events', 'ts', 1440, 60, 'h')} SELECT {BOUNDS}, event_type, count(*) AS c, min(value) AS lo FROM h GROUP BY ALL"),
+    "window_sampled": ("SELECT event_type, COUNT(*) AS c FROM events OVER (WINDOW '60' MINUTES, SLIDE '180' MINUTES) t GROUP BY event_type", f"WITH {_win('events', 'ts', 180, 180, 'k')}, h AS (SELECT * EXCLUDE (ws), we - INTERVAL 60 MINUTE AS ws FROM k WHERE ts >= we - INTERVAL 60 MINUTE) SELECT {BOUNDS}, event_type, count(*) AS c FROM h GROUP BY ALL"),
+    "window_avg_where": (f"SELECT event_type, ROUND(AVG(value), 6) AS m, COUNT(*) AS c FROM {E180} t WHERE value < 80 GROUP BY event_type", f"WITH {E180T} SELECT {BOUNDS}, event_type, round(avg(value), 6) AS m, count(*) AS c FROM h WHERE value < 80 GROUP BY ALL"),
     "window_plain": (f"SELECT event_id, value FROM {E180} t WHERE value > 95", f"WITH {E180T} SELECT {BOUNDS}, event_id, value FROM h WHERE value > 95"),
     "window_subquery": ("SELECT u, COUNT(*) AS c FROM (SELECT user_id AS u, ts FROM events WHERE value > 30) OVER (WINDOW '120' MINUTES) AS s GROUP BY u", f"WITH {_win('events', 'ts', 120, 120, 'h')} SELECT {BOUNDS}, user_id AS u, count(*) AS c FROM h WHERE value > 30 GROUP BY ALL"),
     "window_having": (f"SELECT user_id, COUNT(*) AS c FROM {E180} t GROUP BY user_id HAVING COUNT(*) > 1", f"WITH {E180T} SELECT {BOUNDS}, user_id, count(*) AS c FROM h GROUP BY ALL HAVING count(*) > 1"),
@@ -113,6 +115,8 @@ PLAIN: dict[str, tuple[str, str | None]] = {
     # other aggregates
     "approx_distinct": (f"SELECT event_type, APPROXIMATE COUNT(DISTINCT user_id) AS u FROM {E180} t GROUP BY event_type", None),
     "approx_distinct_rsd": (f"SELECT event_type, APPROXIMATE(0.01) COUNT(DISTINCT user_id) AS u FROM {E180} t GROUP BY event_type", None),
+    "approx_distinct_bound": (f"SELECT event_type, ABS((APPROXIMATE COUNT(DISTINCT user_id)) - COUNT(DISTINCT user_id)) <= 1 + 0.15 * COUNT(DISTINCT user_id) AS near FROM {E180} t GROUP BY event_type", f"WITH {E180T} SELECT DISTINCT {BOUNDS}, event_type, true AS near FROM h"),
+    "approx_distinct_rsd_bound": (f"SELECT event_type, ABS((APPROXIMATE(0.01) COUNT(DISTINCT user_id)) - COUNT(DISTINCT user_id)) <= 1 + 0.03 * COUNT(DISTINCT user_id) AS near FROM {E180} t GROUP BY event_type", f"WITH {E180T} SELECT DISTINCT {BOUNDS}, event_type, true AS near FROM h"),
     "percentile": (f"SELECT event_type, ROUND(percentile(value, 0.5), 6) AS p FROM {E180} t GROUP BY event_type", f"WITH {E180T} SELECT {BOUNDS}, event_type, round(quantile_cont(value, 0.5), 6) AS p FROM h GROUP BY ALL"),
     "stddev": (f"SELECT event_type, ROUND(stddev_pop(value), 4) AS sd FROM {E180} t GROUP BY event_type", f"WITH {E180T} SELECT {BOUNDS}, event_type, round(stddev_pop(value), 4) AS sd FROM h GROUP BY ALL"),
     # functions
@@ -165,21 +169,22 @@ def delimiter_parse(spark: SparkSession, d: str) -> DataFrame:
     return events.select(c.to_message(events).alias("value")).select(*c.to_row(F.col("value"), events.schema))
 
 
-def _closed(spark: SparkSession, d: str) -> tuple[StreamContext, DataFrame]:
-    """events as a stream of five batches, closed by a row past all windows."""
-    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    last = e.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp")).withColumn("event_type", F.lit("__last"))
-    ctx = StreamContext(spark)
-    ctx.register_stream(replay(spark, e, scratch(spark, "replay"), 5, "ts", last), "events", "ts")
-    return ctx, e
+def _streamed(text: str, **kw) -> Callable[[SparkSession, str], DataFrame]:
+    """The answer over events as streams (two, events and again) of five batches, closed by a row past all windows.
 
+    Tables are bounded; so is the stream of orders.
+    """
 
-def _streamed(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        ctx, _ = _closed(spark, d)
-        out = scratch(spark, "out")
-        q = ctx.sql(text).start(ParquetSink(out), trigger={"availableNow": True}, checkpoint=scratch(spark, "query"))
+        e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+        last = e.limit(1).withColumn("ts", F.lit("2100-01-01 00:00:00").cast("timestamp")).withColumn("event_type", F.lit("__last"))
+        folders, out, state = [scratch(spark, "replay") for _ in range(1 + ("again" in text))], scratch(spark, "out"), scratch(spark, "query")
+        ctx = context(spark, d, **kw)
+        for name, folder in zip(("events", "again"), folders):
+            ctx.register_stream(replay(spark, e, folder, 5, "ts", last), name, "ts")
+        q = ctx.sql(text).start(ParquetSink(out), trigger={"availableNow": True}, checkpoint=state)
         q.awaitTermination()
+        remove(spark, *folders, state)
         got = spark.read.parquet(out).drop("batch")
         return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end") if c in got.columns}).filter("window_end < TIMESTAMP_NTZ '2090-01-01'")
 
@@ -232,13 +237,22 @@ _STREAM_TEXTS = {
     "stream_replay_sliding": f"SELECT event_type, COUNT(*) AS c, MAX(value) AS hi FROM {E180} t GROUP BY event_type",
     "stream_replay_topk": f"SELECT event_id, value FROM {E180} t ORDER BY value DESC, event_id LIMIT 2",
     "stream_replay_distinct": f"SELECT event_type, COUNT(DISTINCT user_id) AS u FROM {E180} t GROUP BY event_type",
+    "stream_replay_sum_distinct": f"SELECT event_type, SUM(DISTINCT user_id) AS s, COUNT(*) AS c, COUNT(DISTINCT user_id) AS u FROM {E180} t GROUP BY event_type",
+    "stream_replay_static_topk": f"SELECT t.event_id, o.o_orderkey FROM {E180} t JOIN orders o ON t.user_id = o.o_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey, t.event_id LIMIT 2",
+    "stream_replay_batch_slide": "SELECT event_type, COUNT(*) AS c FROM events OVER (WINDOW '180' MINUTES) t GROUP BY event_type",
+    "stream_replay_unwindowed_topk": "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN again b ON a.user_id = b.user_id ORDER BY a.event_id, b.event_id LIMIT 3",
     "stream_replay_join": "SELECT a.event_id AS a, b.event_id AS b FROM events OVER (WINDOW '60' MINUTES) AS a JOIN events OVER (WINDOW '60' MINUTES) AS b ON a.user_id = b.user_id WHERE a.event_id < b.event_id",
 }
 _H60 = _win("events", "ts", 60, 60, "h")
+_STREAM_CONTEXT = {"stream_replay_batch_slide": {"batch_interval": "60 minutes", "default_slide": "batch"}, "stream_replay_unwindowed_topk": {"batch_interval": "60 minutes"}}
 _STREAM_SQL = {
     "stream_replay_sliding": f"WITH {E180T} SELECT {BOUNDS}, event_type, count(*) AS c, max(value) AS hi FROM h GROUP BY ALL",
     "stream_replay_topk": PLAIN["window_topk"][1],
     "stream_replay_distinct": f"WITH {E180T} SELECT {BOUNDS}, event_type, count(DISTINCT user_id) AS u FROM h GROUP BY ALL",
+    "stream_replay_sum_distinct": f"WITH {E180T} SELECT {BOUNDS}, event_type, CAST(sum(DISTINCT user_id) AS BIGINT) AS s, count(*) AS c, count(DISTINCT user_id) AS u FROM h GROUP BY ALL",
+    "stream_replay_static_topk": f"WITH {E180T} SELECT {BOUNDS}, event_id, o_orderkey FROM h JOIN orders ON user_id = o_custkey QUALIFY row_number() OVER (PARTITION BY we ORDER BY o_totalprice DESC, o_orderkey, event_id) <= 2",
+    "stream_replay_batch_slide": f"WITH {E180T} SELECT {BOUNDS}, event_type, count(*) AS c FROM h GROUP BY ALL",
+    "stream_replay_unwindowed_topk": f"WITH {_H60} SELECT a.ws AS window_start, a.we AS window_end, a.event_id AS a, b.event_id AS b FROM h a JOIN h b ON a.we = b.we AND a.user_id = b.user_id QUALIFY row_number() OVER (PARTITION BY a.we ORDER BY a.event_id, b.event_id) <= 3",
     "stream_replay_join": f"WITH {_H60} SELECT a.ws AS window_start, a.we AS window_end, a.event_id AS a, b.event_id AS b FROM h a JOIN h b ON a.we = b.we AND a.user_id = b.user_id WHERE a.event_id < b.event_id",
 }
 _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -249,7 +263,7 @@ _MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "insert_overwrite_table": (insert_overwrite_table, "SELECT event_type AS kind, CAST(count(*) AS VARCHAR) AS n FROM events GROUP BY 1"),
     "kv_sink": (kv_sink, f"WITH {_H60} SELECT 'q1.' || CAST(CAST(epoch(we) AS BIGINT) AS VARCHAR) AS key, event_type AS field, CAST(count(*) AS VARCHAR) AS value, 60 AS ttl_seconds FROM h GROUP BY we, event_type"),
     "ddl_source": (ddl_source, PLAIN["tumbling_count"][1]),
-} | {k: (_streamed(t), _STREAM_SQL[k]) for k, t in _STREAM_TEXTS.items()}
+} | {k: (_streamed(t, **_STREAM_CONTEXT.get(k, {})), _STREAM_SQL[k]) for k, t in _STREAM_TEXTS.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +12,10 @@ from pyspark.sql.types import StructType
 from windrose.functions import JsonConverter
 from windrose.operators.durations import WindowError, span
 from windrose.plans.lexer import SyntaxProblem, render, statements, tokens
-from windrose.plans.lift import Lifter, Stream, visible
+from windrose.plans.lift import Lifted, Lifter, Stream, visible
 from windrose.plans.parser import Derived, Insert, Join, Lateral, Query, Table, has_window, parse
 from windrose.sinks import KafkaSink, Sink, TableSink
-from windrose.sources import open_source
+from windrose.sources import is_live, open_source
 from windrose.streaming import ContinuousQuery
 
 
@@ -119,21 +119,20 @@ class StreamContext:
             return self._insert(ast)
         return self._query(ast)
 
-    def _query(self, ast: Query) -> DataFrame | ContinuousQuery:
+    def _query(self, ast: Query, show: Callable[[Lifted], DataFrame] = visible) -> DataFrame | ContinuousQuery:
         names, windowed = _tables(ast)
         live = [n for n in names if (s := self.streams.get(n.strip("`").lower())) and s.df.isStreaming]
         if live:
-            return ContinuousQuery(self.spark, ast, self._resolve, delay=self.lateness, batch=self.batch, windowed=windowed, streams=len(live))
-        return visible(Lifter(self.spark, self._resolve, default_slide=self.default_slide, panes=self.panes).query(ast))
+            return ContinuousQuery(self.spark, ast, self._resolve, delay=self.lateness, batch=self.batch, windowed=windowed, streams=len(live), default_slide=self.default_slide, panes=self.panes, show=show)
+        return show(Lifter(self.spark, self._resolve, default_slide=self.default_slide, panes=self.panes).query(ast))
 
     def _insert(self, ast: Insert):
         ast.query.ctes = ast.ctes + ast.query.ctes
-        got = self._query(ast.query)
+        got = self._query(ast.query, Lifted.only)  # the query's own columns, not the window bounds
         name = ast.target.strip("`").lower()
         if isinstance(got, ContinuousQuery):  # a stream sink appends, whatever the statement says
-            return got.start(_Visible(self.sinks.get(name) or TableSink(ast.target)))
-        sink = self.sinks.get(name) or TableSink(ast.target, overwrite=ast.overwrite)
-        _Visible(sink).write(got, 0)
+            return got.start(self.sinks.get(name) or TableSink(ast.target))
+        (self.sinks.get(name) or TableSink(ast.target, overwrite=ast.overwrite)).write(got, 0)
         return None
 
     def explain(self, text: str, extended: bool = False) -> None:
@@ -143,7 +142,7 @@ class StreamContext:
     def command(self, text: str) -> None:
         """Runs the statements of a script at once: CREATE TABLE ... USING, INSERT, SET and what else Spark knows."""
         for s in statements(text):
-            if m := _CREATE.match(s):
+            if (m := _CREATE.match(s)) and (is_live(m["provider"]) or re.search(r"\bpath\b", m["options"] or "", re.I)):
                 self._create(m)
             elif re.match(r"\s*DROP\s+TABLE\s+(IF\s+EXISTS\s+)?[\w`.]+\s*$", s, re.I) and s.split()[-1].lower() in self.streams:
                 self.drop_table(s.split()[-1])
@@ -168,16 +167,6 @@ class StreamContext:
             self.register_table(df, name)
 
 
-class _Visible:
-    """An insert takes the query's own columns, not the window bounds."""
-
-    def __init__(self, sink: Sink):
-        self.sink = sink
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        self.sink.write(df.drop("window_start", "window_end"), batch_id)
-
-
 _CREATE = re.compile(r"\s*CREATE\s+(?:TEMPORARY\s+)?(?:TABLE|VIEW)\s+(?P<name>[\w`.]+)\s*(?:\((?P<cols>(?:[^()']|\([^()]*\))*)\)\s*)?USING\s+(?P<provider>[\w.`]+)\s*(?:OPTIONS\s*\((?P<options>.*)\))?\s*$", re.I | re.S)
 
 

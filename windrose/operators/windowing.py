@@ -13,34 +13,63 @@ from windrose.operators.durations import spelled
 WIN, END = "__win", "__we"
 
 
+def before(end: Column, ms: int) -> Column:
+    return end - F.expr(f"make_dt_interval(0, 0, 0, {ms / 1000:.3f})")
+
+
 def assign(df: DataFrame, ts: str, width: int, slide: int) -> DataFrame:
-    """One row for each window that holds a row's time: [end - width, end), ends at multiples of slide."""
-    return df.withColumn(WIN, F.window(F.col(f"`{ts}`"), spelled(width), *([spelled(slide)] if slide != width else [])))
+    """One row for each window that holds a row's time: [end - width, end), ends at multiples of slide.
+
+    With a slide longer than the width, rows between two windows are in none, and the column begins at the window's end
+    less the slide: as it is, streams know when it closes.
+    """
+    if slide <= width:
+        return df.withColumn(WIN, F.window(F.col(f"`{ts}`"), spelled(width), *([spelled(slide)] if slide != width else [])))
+    df = df.withColumn(WIN, F.window(F.col(f"`{ts}`"), spelled(slide)))
+    return df.filter(F.col(f"`{ts}`") >= before(F.col(f"{WIN}.end"), width))
 
 
-#: What a pane's partial results are and how they are merged: name to (partials, final expression).
+#: Aggregates whose partial results merge exactly.
 MERGEABLE = ("count", "sum", "min", "max", "avg")
+_PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+_MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
-def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[str, Column], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Sliding aggregates from panes as long as the greatest common divisor of width and slide.
+def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[str, Column], aggs: dict[str, tuple[str, Column]],
+                   of: dict[str, Column] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+    """Aggregates of windows from panes as long as the greatest common divisor of width and slide.
 
     Rows are aggregated once, into the pane they fall in; only the few (pane, key) rows are then copied to the
     windows that cover the pane. Without panes each row is copied width/slide times before it is aggregated.
-    Partial counts, sums, minima and maxima merge exactly; avg is its sum over its count. aggs: name to
-    (function, expression). Returns WIN, the keys and the aggregates.
+    Partial counts, sums, minima and maxima merge exactly; avg is its sum, as a double, over its count. aggs: name
+    to (function, expression).
+
+    distinct: name to count or sum, of the distinct values of the columns ``of``. These columns are keys of the
+    panes and of the windows until equal values have met, then one more step counts them.
+
+    Each step is an aggregation by event time, so that streams run it natively, one after the other. Returns WIN, the
+    keys and the aggregates.
     """
-    pane = gcd(width, slide)
-    parts, finals = [], []
+    of, distinct = of or {}, distinct or {}
+    parts, merges, finals = [], [], []
     for name, (f, e) in aggs.items():
-        if f == "avg":
-            parts += [F.sum(e).alias(f"{name}__s"), F.count(e).alias(f"{name}__c")]
-            finals.append((F.sum(f"{name}__s") / F.nullif(F.sum(f"{name}__c"), F.lit(0))).alias(name))
-        else:
-            parts.append({"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[f](e).alias(f"{name}__p"))
-            finals.append({"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[f](f"{name}__p").alias(name))
-    named = [c.alias(k) for k, c in keys.items()]
-    panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(pane)).alias("__pane"), *named).agg(*parts)
-    wide = panes.withColumn("__at", F.col("__pane.start"))
-    wide = wide.withColumn(WIN, F.window("__at", spelled(width), *([spelled(slide)] if slide != width else [])))
-    return wide.groupBy(WIN, *[F.col(f"`{k}`") for k in keys]).agg(*finals)
+        cut = [(f"{name}__s", "sum", e.cast("double")), (f"{name}__c", "count", e)] if f == "avg" else [(f"{name}__p", f, e)]
+        parts += [_PARTIAL[g](x).alias(p) for p, g, x in cut]
+        merges += [_MERGE[g](p).alias(p) for p, g, _ in cut]
+        finals.append((F.sum(cut[0][0]) / F.nullif(F.sum(cut[1][0]), F.lit(0)) if f == "avg" else _MERGE[f](cut[0][0])).alias(name))
+    whole = F.lit(True)
+    for c in of:
+        whole = whole & F.col(c).isNotNull()
+    finals += [(F.count(F.when(whole, F.lit(1))) if f == "count" else F.sum(next(iter(of)))).alias(name) for name, f in distinct.items()]
+    named = [c.alias(k) for k, c in (keys | of).items()]
+    by, deep = [F.col(k) for k in keys], [F.col(k) for k in keys | of]
+    # Spark wants an aggregate in each step, also where only keys are made distinct.
+    none = [F.count(F.lit(1)).alias("__n")]
+    if slide == width:
+        panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(width)).alias(WIN), *named).agg(*(parts or none))
+        return panes.groupBy(WIN, *by).agg(*finals)
+    panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(gcd(width, slide))).alias("__pane"), *named).agg(*(parts or none))
+    wide = panes.select(F.window(F.window_time("__pane"), spelled(width), spelled(slide)).alias(WIN), *[c for c in panes.columns if c != "__pane"])
+    if of:
+        wide = wide.groupBy(WIN, *deep).agg(*(merges or none))
+    return wide.groupBy(WIN, *by).agg(*finals)

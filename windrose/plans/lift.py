@@ -10,14 +10,14 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.operators.durations import WindowError, check
-from windrose.operators.windowing import END, MERGEABLE, WIN, assign, pane_aggregate
+from windrose.operators.windowing import END, MERGEABLE, WIN, assign, before, pane_aggregate
 from windrose.plans.lexer import Token, render, tokens
 from windrose.plans.parser import Block, Derived, Item, Join, Lateral, Order, Query, Table, WindowClause
 
@@ -28,11 +28,17 @@ TIME = "__ts"
 
 @dataclass
 class Stream:
-    """A registered stream: its rows, time column and batch interval."""
+    """A registered stream: its rows, time column and batch interval. live: whether it goes on, even where df stands
+    for a part of it; None: as df says."""
 
     df: DataFrame
     ts: str
     batch: int | None = None
+    live: bool | None = None
+
+    def __post_init__(self) -> None:
+        if self.live is None:
+            self.live = self.df.isStreaming
 
 
 @dataclass
@@ -77,17 +83,26 @@ class Lifter:
 
     def __init__(self, spark: SparkSession, resolve: Callable[[str], Stream | DataFrame], *, default_slide: str = "tumble", unwindowed: str | int = "table", panes: bool = True):
         self.spark, self.resolve, self.default_slide, self.unwindowed, self.panes = spark, resolve, default_slide, unwindowed, panes
+        self._views: list[str] = []
+        self._depth = 0
 
     # -- queries ---------------------------------------------------------------------------------------------
 
     def query(self, q: Query, env: dict[str, Lifted] | None = None) -> Lifted:
         env = dict(env or {})
-        for name, body in q.ctes:
-            env[name.strip("`").lower()] = self.query(body, env)
-        out = self.operand(q.first, env)
-        for op, right in q.rest:
-            out = self.combine(op, out, self.operand(right, env))
-        return out
+        self._depth += 1
+        try:
+            for name, body in q.ctes:
+                env[name.strip("`").lower()] = self.query(body, env)
+            out = self.operand(q.first, env)
+            for op, right in q.rest:
+                out = self.combine(op, out, self.operand(right, env))
+            return out
+        finally:
+            self._depth -= 1
+            if not self._depth:  # what was made of the views is analysed by now
+                while self._views:
+                    self.spark.catalog.dropTempView(self._views.pop())
 
     def operand(self, x: Block | Query, env: dict[str, Lifted]) -> Lifted:
         return self.query(x, env) if isinstance(x, Query) else self.block(x, env)
@@ -111,24 +126,32 @@ class Lifter:
         left, right = left.toDF(*names), right.toDF(*names)
         df = {"union all": lambda: left.union(right), "union": lambda: left.union(right).distinct(), "intersect": lambda: left.intersect(right), "except": lambda: left.subtract(right)}[op]()
         df = df.toDF(*a.columns, *last)
-        return Lifted(df, a.columns, kind, a.width if kind == WIN else None, a.slide, Stream(df, TIME, a.stream.batch) if timed else None)
+        return Lifted(df, a.columns, kind, a.width if kind == WIN else None, a.slide, Stream(df, TIME, a.stream.batch, a.stream.live or b.stream.live) if timed else None)
 
     # -- relations -------------------------------------------------------------------------------------------
 
     def view(self, df: DataFrame) -> str:
         name = f"__v{next(_IDS)}"
         df.createOrReplaceTempView(name)
+        self._views.append(name)
         return name
 
+    def slide_of(self, w: WindowClause, s: Stream) -> int:
+        slide = w.slide or (s.batch if self.default_slide == "batch" and s.batch else w.width)
+        check(w.width, slide, s.batch)
+        return slide
+
     def windowed(self, rel: Lifted, w: WindowClause, what: str) -> Lifted:
         if rel.kind:
             raise WindowError(f"{what} is windowed already")
         if rel.stream is None:
             raise WindowError(f"{what} is no stream: it has no time column")
-        s = rel.stream
-        slide = w.slide or (s.batch if self.default_slide == "batch" and s.batch else w.width)
-        check(w.width, slide, s.batch)
-        return Lifted(assign(rel.df, s.ts, w.width, slide), rel.columns, WIN, w.width, slide, s)
+        slide = self.slide_of(w, rel.stream)
+        return self.assigned(rel, w.width, slide)
+
+    def assigned(self, rel: Lifted, width: int, slide: int) -> Lifted:
+        """A stream's rows in their windows."""
+        return Lifted(assign(rel.df, rel.stream.ts, width, slide), rel.columns, WIN, width, slide, rel.stream)
 
     def relation(self, r: object, env: dict[str, Lifted]) -> _Side:
         if isinstance(r, Join):
@@ -180,7 +203,8 @@ class Lifter:
         rel = side.single
         if rel is None:
             return side
-        done = Lifted(assign(rel.df, rel.stream.ts, self.unwindowed, self.unwindowed), rel.columns, WIN, self.unwindowed, self.unwindowed)
+        done = self.assigned(rel, self.unwindowed, self.unwindowed)
+        done.stream = None
         alias = side.parts[0][0]
         return _Side(f"{self.view(done.df)} AS {alias}", side.parts, WIN, f"{alias}.{WIN}", self.unwindowed, self.unwindowed, done)
 
@@ -232,6 +256,7 @@ class Lifter:
     # -- blocks ----------------------------------------------------------------------------------------------
 
     def block(self, b: Block, env: dict[str, Lifted]) -> Lifted:
+        b = replace(b, order=[replace(o) for o in b.order], sort=[replace(o) for o in b.sort])  # a query may be lifted again
         side = self.relation(b.source, env) if b.source is not None else _Side("", [])
         text = lambda ts: render(self.expr(ts, side))
         items = self._items(b.items, side)
@@ -257,7 +282,7 @@ class Lifter:
         n = len(items)
         out = Lifted(df, df.columns[:n], side.kind, side.width, side.slide)
         if timed:
-            out.stream = Stream(df, TIME, side.single.stream.batch)
+            out.stream = replace(side.single.stream, df=df, ts=TIME)
         return self._ordered(b, out, [name for name, _ in hidden])
 
     def _items(self, items: list[Item], side: _Side) -> list[Item]:
@@ -338,15 +363,21 @@ class Lifter:
             own = own.limit(n)
         keep = [i for i, c in enumerate(df.columns) if c not in hidden]
         out = own.select(*[names[i] for i in keep]).toDF(*[df.columns[i] for i in keep])
-        return Lifted(out, rel.columns, rel.kind, rel.width, rel.slide, rel.stream and Stream(out, rel.stream.ts, rel.stream.batch))
+        return Lifted(out, rel.columns, rel.kind, rel.width, rel.slide, rel.stream and replace(rel.stream, df=out))
 
     def _by_panes(self, b: Block, side: _Side, items: list[Item]) -> Lifted | None:
-        """A sliding aggregation of one stream by panes, if every item is a group or one mergeable aggregate."""
+        """An aggregation of one stream by panes, if every item is a group or one mergeable or distinct aggregate.
+
+        A tumbling one has only its distinct values to gain from steps, and these only on streams.
+        """
         rel = side.single
-        if rel is None or rel.kind != WIN or rel.stream is None or rel.slide == rel.width or b.having or b.distinct or rel.stream.df.isStreaming or any(len(o.expr) > 1 for o in b.order + b.sort):
+        if rel is None or rel.kind != WIN or rel.stream is None or rel.slide > rel.width or b.having or b.distinct or any(len(o.expr) > 1 for o in b.order + b.sort):
+            return None
+        if rel.slide == rel.width and not rel.stream.df.isStreaming:
             return None
         groups = {render(g).lower() for g in _split(b.group)} if b.group else set()
-        keys, aggs, order = {}, {}, []
+        keys, aggs, of, distinct, order = {}, {}, {}, {}, []
+        values: str | None = None
         base = rel.stream.df.alias(side.parts[0][0].strip("`"))
         if b.where:
             base = base.filter(render(self.expr(b.where)))
@@ -355,22 +386,34 @@ class Lifter:
             if text.lower() in groups:
                 keys[f"__g{n}"] = F.expr(render(self.expr(i.expr)))
                 order.append(f"__g{n}")
-            elif len(call) == 2 and call[1] == "(" and call[0].lower() in MERGEABLE and _closing(i.expr, 1) == len(i.expr) - 1 and i.expr[2].upper != "DISTINCT":
+            elif len(call) == 2 and call[1] == "(" and call[0] in ("COUNT", "SUM") and _closing(i.expr, 1) == len(i.expr) - 1 and i.expr[2].upper == "DISTINCT":
+                inner = self.expr(i.expr[3:-1])
+                many = _split(inner)
+                if values not in (None, render(inner)) or len(many) > 1 and call[0] == "SUM" or not all(many) or any(t.text == "*" and k == 0 or t.upper == "OVER" for x in many for k, t in enumerate(x)):
+                    return None
+                values = render(inner)
+                of = {f"__d{k}": F.expr(render(x)) for k, x in enumerate(many)}
+                kinds = [t for _, t in base.select(*[e.alias(k) for k, e in of.items()]).dtypes]
+                if any(t.startswith(("map", "variant")) for t in kinds) or call[0] == "SUM" and kinds[0].startswith(("decimal", "interval")):
+                    return None
+                distinct[f"__a{n}"] = call[0].lower()
+                order.append(f"__a{n}")
+            elif len(call) == 2 and call[1] == "(" and call[0].lower() in MERGEABLE and _closing(i.expr, 1) == len(i.expr) - 1:
                 inner = self.expr(i.expr[2:-1])
                 if len(_split(inner)) > 1 or any(t.upper == "OVER" for t in inner):
                     return None
                 f = call[0].lower()
                 e = F.lit(1) if render(inner) == "*" else F.expr(render(inner))
-                if f in ("sum", "avg") and dict(base.select(e.alias("x")).dtypes)["x"].startswith("decimal"):
+                if f in ("sum", "avg") and dict(base.select(e.alias("x")).dtypes)["x"].startswith(("decimal", "interval")):
                     return None
                 aggs[f"__a{n}"] = (f, e)
                 order.append(f"__a{n}")
             else:
                 return None
-        if not aggs or len(groups) != len(keys):
+        if not (aggs or distinct) or len(groups) != len(keys) or rel.slide == rel.width and not distinct:
             return None
         names = [(i.alias or (i.expr[-1].text if f"__g{n}" in keys else render(i.expr))).strip("`") for n, i in enumerate(items)]
-        df = pane_aggregate(base, rel.stream.ts, rel.width, rel.slide, keys, aggs)
+        df = pane_aggregate(base, rel.stream.ts, rel.width, rel.slide, keys, aggs, of, distinct)
         return Lifted(df.select(*[F.col(o).alias(n) for o, n in zip(order, names)], WIN), names, WIN, rel.width, rel.slide)
 
 
@@ -421,6 +464,7 @@ def visible(rel: Lifted) -> DataFrame:
     names = [f"__k{i}" for i in range(len(rel.df.columns))]
     df = rel.df.toDF(*names)
     win = names[rel.df.columns.index(rel.kind)]
-    times = [(f"{win}.start", "window_start"), (f"{win}.end", "window_end")] if rel.kind == WIN else [(win, "window_end")]
+    start = lambda: F.col(f"{win}.start") if rel.slide <= rel.width else before(F.col(f"{win}.end"), rel.width)
+    times = [(start(), "window_start"), (F.col(f"{win}.end"), "window_end")] if rel.kind == WIN else [(F.col(win), "window_end")]
     shown = names[: len(rel.columns)]
-    return df.select(*[F.col(c).alias(n) for c, n in times], *[F.col(c).alias(n) for c, n in zip(shown, rel.columns)])
+    return df.select(*[c.alias(n) for c, n in times], *[F.col(c).alias(n) for c, n in zip(shown, rel.columns)])

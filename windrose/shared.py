@@ -11,18 +11,28 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints.
 
-    ``spark.checkpoint.dir`` is used as it is set. Where it is unset, local mode takes a temporary
-    folder (driver and executors are one process) and a cluster the warehouse, which is shared.
+    ``spark.checkpoint.dir`` is used as it is set. Where it is unset, local mode takes a temporary folder (driver and
+    executors are one process); a cluster must name one, since no folder of the driver's machine would do.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None and sc.master.startswith("local") and "cluster" not in sc.master:
+        if where is None:
+            if not sc.master.startswith("local") or "cluster" in sc.master:
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        sc.setCheckpointDir(where)
     return sc.getCheckpointDir().rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders wherever Spark can; what isn't there is no error."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)

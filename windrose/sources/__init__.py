@@ -1,5 +1,5 @@
 """Stream and table sources by name, as CREATE TABLE ... USING names them."""
 
-from windrose.sources.providers import PROVIDERS, SourceError, kafka_options, open_source, replay
+from windrose.sources.providers import PROVIDERS, SourceError, is_live, kafka_options, open_source, replay
 
-__all__ = ["PROVIDERS", "SourceError", "kafka_options", "open_source", "replay"]
+__all__ = ["PROVIDERS", "SourceError", "is_live", "kafka_options", "open_source", "replay"]

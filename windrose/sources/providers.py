@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,10 +85,19 @@ PROVIDERS: dict[str, Callable[[SparkSession, StructType | None, dict[str, str]],
 }
 
 
-def open_source(spark: SparkSession, provider: str, schema: StructType | None, options: dict[str, str]) -> DataFrame:
-    """By the provider's name; of a dotted name the last part counts, with or without ``Source``."""
+def _key(provider: str) -> str:
+    """Of a dotted name the last part counts, with or without ``Source``."""
     key = provider.split(".")[-1].strip("`").lower()
-    load = PROVIDERS.get(key) or PROVIDERS.get(key.removesuffix("source"))
+    return key if key in PROVIDERS else key.removesuffix("source")
+
+
+def is_live(provider: str) -> bool:
+    """Whether the provider's tables are streams that Spark's own CREATE TABLE doesn't know."""
+    return _key(provider) in ("kafka", "socket", "sockettext", "rate") or "." in provider and _key(provider) in PROVIDERS
+
+
+def open_source(spark: SparkSession, provider: str, schema: StructType | None, options: dict[str, str]) -> DataFrame:
+    load = PROVIDERS.get(_key(provider))
     if load is None:
         return _files(provider)(spark, schema, {k.lower(): v for k, v in options.items()})
     return load(spark, schema, {k.lower(): v for k, v in options.items()})
@@ -99,9 +108,10 @@ def replay(spark: SparkSession, df: DataFrame, folder: str, batches: int, order_
 
     last: rows of one more part, such as one whose time lies past all windows and so closes them.
     """
-    parts = df.withColumn("__part", F.ntile(batches).over(Window.orderBy(order_by)))  # for tests and small replays: one task sorts
-    for k in range(1, batches + 1):
-        _one_file(parts.filter(F.col("__part") == k).drop("__part"), folder)
+    at = [x for x in df.select(F.percentile_approx(order_by, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []] if batches > 1 else []
+    for low, high in zip([None, *at], [*at, None]):  # (low, high]; a null is in the first part
+        part = df if low is None else df.filter(F.col(order_by) > F.lit(low))
+        _one_file(part if high is None else part.filter((F.col(order_by) <= F.lit(high)) | (F.col(order_by).isNull() if low is None else F.lit(False))), folder)
     if last is not None:
         _one_file(last, folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)

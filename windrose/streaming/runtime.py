@@ -1,28 +1,27 @@
 """Queries over streams: natively where Structured Streaming allows the plan, else window by window.
 
 native: the lifted plan itself runs as a stream, in append mode: a window's rows come when the watermark has
-passed it.
-windows: for what streams can't do (ORDER BY, LIMIT, INTERSECT, EXCEPT, row windows, distinct counts, ...): the
-windowed inputs are gathered by instant in the state store, and each closed instant is answered by the batch plan.
+passed it. Aggregations run by panes, and distinct ones in steps, wherever panes can express them.
+windows: for what streams can't do (ORDER BY, LIMIT, INTERSECT, EXCEPT, row windows, ...): the windowed inputs are
+gathered by instant and bucket in the state store, and each closed instant is answered by the batch plan. Bounded
+inputs take part as they are; a windowed one in the instants at which a stream has rows.
 batches: a query without windows over one stream is answered for each micro-batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from windrose.operators.durations import check, spelled
-from windrose.operators.windowing import WIN, assign
+from windrose.operators.durations import WindowError, spelled
+from windrose.operators.windowing import WIN, assign, before
 from windrose.plans.lift import Lifted, Lifter, Stream, visible
-from windrose.plans.parser import Query, WindowClause
-
-
-#: JSON keeps microseconds.
-_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+from windrose.plans.parser import Query
 
 
 def allowed(df: DataFrame) -> str | None:
@@ -37,79 +36,97 @@ def allowed(df: DataFrame) -> str | None:
 
 
 class _Gathering(Lifter):
-    """Notes each windowed relation in the order met and goes on with an empty table in its place."""
+    """Notes each windowed relation of a live stream in the order met and goes on with an empty table in its place."""
 
     def __init__(self, *a, **k):
         super().__init__(*a, panes=False, **k)
         self.inputs: list[tuple[DataFrame, str, int, int]] = []
 
-    def windowed(self, rel: Lifted, w: WindowClause, what: str) -> Lifted:
+    def assigned(self, rel: Lifted, width: int, slide: int) -> Lifted:
         s = rel.stream
-        if s is None or rel.kind:
-            return super().windowed(rel, w, what)
-        slide = w.slide or w.width
-        check(w.width, slide, s.batch)
-        self.inputs.append((rel.df, s.ts, w.width, slide))
-        shape = assign(self.spark.createDataFrame([], rel.df.schema), s.ts, w.width, slide)
-        return Lifted(shape, rel.columns, WIN, w.width, slide, Stream(shape, s.ts, s.batch))
+        if not s.live:
+            return super().assigned(rel, width, slide)
+        self.inputs.append((rel.df, s.ts, width, slide))
+        return super().assigned(replace(rel, df=self.spark.createDataFrame([], rel.df.schema)), width, slide)
 
 
 class _Answering(Lifter):
-    """The n-th windowed relation is the n-th of the given tables."""
+    """The n-th windowed relation of a live stream is the n-th of the given tables; ends: their instants."""
 
-    def __init__(self, *a, tables: list[DataFrame], **k):
+    def __init__(self, *a, tables: list[DataFrame], ends: DataFrame, **k):
         super().__init__(*a, panes=False, **k)
-        self.tables = iter(tables)
+        self.tables, self.ends = iter(tables), ends
 
-    def windowed(self, rel: Lifted, w: WindowClause, what: str) -> Lifted:
-        if rel.stream is None or rel.kind:
-            return super().windowed(rel, w, what)
-        df, slide = next(self.tables), w.slide or w.width
-        return Lifted(df, rel.columns, WIN, w.width, slide, Stream(df, rel.stream.ts, rel.stream.batch))
+    def assigned(self, rel: Lifted, width: int, slide: int) -> Lifted:
+        if rel.stream.live:
+            df = next(self.tables)
+            return Lifted(df, rel.columns, WIN, width, slide, replace(rel.stream, df=df))
+        done = super().assigned(rel, width, slide)
+        at = self.ends.select(F.col("end").cast(done.df.schema[WIN].dataType["end"].dataType).alias("__end"))
+        return replace(done, df=done.df.join(F.broadcast(at), done.df[WIN]["end"] == at["__end"], "left_semi"))
 
 
 class ContinuousQuery:
-    """A query over at least one stream; ``start`` runs it."""
+    """A query over at least one stream; ``start`` runs it.
+
+    show: what of a result goes to sinks, by default all that users see.
+    """
 
-    def __init__(self, spark: SparkSession, ast: Query, resolve: Callable[[str], Stream | DataFrame], *, delay: int, batch: int | None, windowed: bool, streams: int):
-        self.spark, self.ast, self.resolve, self.delay, self.batch = spark, ast, resolve, delay, batch
+    def __init__(self, spark: SparkSession, ast: Query, resolve: Callable[[str], Stream | DataFrame], *, delay: int, batch: int | None, windowed: bool, streams: int,
+                 default_slide: str = "tumble", panes: bool = True, show: Callable[[Lifted], DataFrame] = visible):
+        self.spark, self.ast, self.resolve, self.delay, self.batch, self.show = spark, ast, resolve, delay, batch, show
+        self.slides = {"default_slide": default_slide}
+        self.lifting = self.slides | {"unwindowed": batch or "table"}
         self.why: str | None = None
         if not windowed and streams < 2:
             self.mode = "batches"
             return
-        try:
-            self.plan = visible(Lifter(spark, self._watermarked, unwindowed=batch or "table", panes=False).query(ast))
-            self.why = allowed(self.plan)
-        except Exception as e:
-            self.why = str(e).splitlines()[0]
-            gather = _Gathering(spark, self._timed)
-            gather.query(ast)  # a query that can't be lifted at all fails here
+        for by_panes in (True, False) if panes else (False,):
+            try:
+                self.plan = show(Lifter(spark, self._watermarked, panes=by_panes, **self.lifting).query(ast))
+                self.why = allowed(self.plan)
+            except Exception as e:
+                self.why = str(e).splitlines()[0]
+            if self.why is None:
+                break
+        if self.why is not None:
+            self._gather()  # a query that can't be lifted at all fails here
         self.mode = "native" if self.why is None else "windows"
 
+    def _gather(self) -> _Gathering:
+        gather = _Gathering(self.spark, self._timed, **self.lifting)
+        if gather.query(self.ast).df.isStreaming or not gather.inputs:  # a stream is left that no window closes
+            raise WindowError(f"each stream of the query needs a window, or joined ones a batch interval: {self.why}")
+        if len({slide for *_, slide in gather.inputs}) > 1:
+            raise WindowError("the streams of a query that is answered window by window must share their slide")
+        return gather
+
     def _timed(self, name: str) -> Stream | DataFrame:
         s = self.resolve(name)
         if isinstance(s, Stream) and dict(s.df.dtypes)[s.ts] != "timestamp":
-            return Stream(s.df.withColumn(s.ts, F.col(f"`{s.ts}`").cast("timestamp")), s.ts, s.batch)
+            return replace(s, df=s.df.withColumn(s.ts, F.col(f"`{s.ts}`").cast("timestamp")))
         return s
 
     def _watermarked(self, name: str) -> Stream | DataFrame:
         s = self._timed(name)
         if isinstance(s, Stream) and s.df.isStreaming:
-            return Stream(s.df.withWatermark(s.ts, spelled(self.delay)), s.ts, s.batch)
+            return replace(s, df=s.df.withWatermark(s.ts, spelled(self.delay)))
         return s
 
     def _emptied(self, name: str) -> Stream | DataFrame:
         """For schemas: a stream as an empty table."""
         s = self._timed(name)
-        return Stream(self.spark.createDataFrame([], s.df.schema), s.ts, s.batch) if isinstance(s, Stream) else s
+        return replace(s, df=self.spark.createDataFrame([], s.df.schema)) if isinstance(s, Stream) else s
+
+    def _shape(self) -> DataFrame:
+        return self.plan if self.mode == "native" else self.show(Lifter(self.spark, self._emptied, **self.lifting).query(self.ast))
 
     @property
     def schema(self):
-        return (self.plan if self.mode == "native" else visible(Lifter(self.spark, self._emptied).query(self.ast))).schema
+        return self._shape().schema
 
     def explain(self, extended: bool = False) -> None:
-        df = self.plan if self.mode == "native" else visible(Lifter(self.spark, self._emptied).query(self.ast))
-        df.explain("extended" if extended else "formatted")
+        self._shape().explain("extended" if extended else "formatted")
 
     def start(self, sink, *, name: str | None = None, checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
         """sink: its write(df, batch_id) gets every batch of results."""
@@ -129,55 +146,69 @@ class ContinuousQuery:
             s = self.resolve(name)
             if isinstance(s, Stream) and s.df.isStreaming:
                 found.append((name, s))
-                return Stream(self.spark.createDataFrame([], s.df.schema), s.ts, s.batch)
+                return replace(s, df=self.spark.createDataFrame([], s.df.schema))
             return s
 
-        Lifter(self.spark, note).query(self.ast)
+        Lifter(self.spark, note, **self.slides).query(self.ast)
         name, s = found[0]
 
         def each(batch: DataFrame, n: int) -> None:
-            spark = batch.sparkSession
-            resolve = lambda t: Stream(batch, s.ts, s.batch) if t.strip("`").lower() == name.strip("`").lower() else spark.table(t)
-            sink.write(visible(Lifter(spark, resolve).query(self.ast)), n)
+            def resolve(t: str) -> Stream | DataFrame:
+                return replace(s, df=batch) if t.strip("`").lower() == name.strip("`").lower() else _there(t, self.resolve(t), batch.sparkSession)
+
+            sink.write(self.show(Lifter(batch.sparkSession, resolve, **self.slides).query(self.ast)), n)
 
         return s.df, each
 
     def _windows(self, sink):
-        gather = _Gathering(self.spark, self._timed)
-        gather.query(self.ast)
+        inputs = self._gather().inputs
+        # A row of one input is a struct with that input's field set.
+        kinds = [F.lit(None).cast(df.schema).alias(f"r{k}") for k, (df, *_) in enumerate(inputs)]
         parts = []
-        for k, (df, ts, width, slide) in enumerate(gather.inputs):
-            wide = assign(df, ts, width, slide)
+        for k, (df, ts, width, slide) in enumerate(inputs):
+            wide = assign(df, ts, max(width, slide), slide)
             # The instant is the event time here. It lies up to a width ahead of the row's time, so it may lag as much more.
             at = (F.col(f"{WIN}.end") - F.expr("INTERVAL 1 MILLISECOND")).alias("__at")
-            body = F.to_json(F.struct(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r")), _TIMES)
-            parts.append(wide.select(F.lit(k).alias("tag"), body.alias("body"), at).withWatermark("__at", spelled(self.delay + width)))
-        slide = gather.inputs[0][3]
+            own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"r{k}")
+            one = F.struct(F.lit(k).alias("tag"), *kinds[:k], own, *kinds[k + 1 :])
+            part = wide.select(one.alias("row"), at, F.col(f"`{ts}`").alias("__ts")).withWatermark("__at", spelled(self.delay + max(width, slide)))
+            # Rows between sampled windows tell the time, too, so they go only now.
+            part = part.filter(F.col("__ts") >= before(F.col("__at") + F.expr("INTERVAL 1 MILLISECOND"), width)) if slide > width else part
+            parts.append(part.drop("__ts"))
+        slide = inputs[0][3]
         union = parts[0]
         for p in parts[1:]:
             union = union.unionByName(p)
-        gathered = union.groupBy(F.window("__at", spelled(slide)).alias("w")).agg(F.collect_list(F.struct("tag", "body")).alias("rows"))
+        # An instant's rows are gathered in several buckets, so that no group and no task has all of them.
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        bucket = (F.rand(17) * buckets).cast("int").alias("bucket")
+        gathered = union.withColumn("bucket", bucket).groupBy(F.window("__at", spelled(slide)).alias("w"), "bucket").agg(F.collect_list("row").alias("rows"))
 
         def each(batch: DataFrame, n: int) -> None:
             spark = batch.sparkSession
-            rows = batch.select(F.col("w.end").alias("end"), F.explode("rows").alias("x"))
-            tables = []
-            for k, (df, ts, width, _) in enumerate(gather.inputs):
-                shape = F.from_json(F.col("x.body"), _nested(df), _TIMES)
-                win = F.struct((F.col("end") - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {width} / 1000)")).alias("start"), F.col("end").alias("end"))
-                t = rows.filter(F.col("x.tag") == k).select(shape.alias("b"), win.alias(WIN))
-                tables.append(t.select("b.r.*", WIN))
-
-            def resolve(name: str) -> Stream | DataFrame:
-                s = self._timed(name)
-                return Stream(spark.createDataFrame([], s.df.schema), s.ts, s.batch) if isinstance(s, Stream) else spark.table(name)
-
-            sink.write(visible(_Answering(spark, resolve, tables=tables).query(self.ast)), n)
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # each input reads it
+            try:
+                rows = batch.select(F.col("w.end").alias("end"), F.explode("rows").alias("x"))
+                tables = []
+                for k, (_, _, width, slide) in enumerate(inputs):
+                    win = F.struct(before(F.col("end"), max(width, slide)).alias("start"), F.col("end").alias("end"))
+                    tables.append(rows.filter(F.col("x.tag") == k).select(F.col(f"x.r{k}").alias("r"), win.alias(WIN)).select("r.*", WIN))
+
+                def resolve(name: str) -> Stream | DataFrame:
+                    s = self._timed(name)
+                    if isinstance(s, Stream) and s.live:
+                        return replace(s, df=spark.createDataFrame([], s.df.schema))
+                    return _there(name, s, spark)
+
+                ends = batch.select("w.end").distinct()
+                sink.write(self.show(_Answering(spark, resolve, tables=tables, ends=ends, **self.lifting).query(self.ast)), n)
+            finally:
+                batch.unpersist()
 
         return gathered, each
 
 
-def _nested(df: DataFrame):
-    from pyspark.sql.types import StructField, StructType
-
-    return StructType([StructField("r", df.schema)])
+def _there(name: str, s: Stream | DataFrame, spark: SparkSession) -> Stream | DataFrame:
+    """A table or bounded stream in the session of a batch, which has the names of the query's session."""
+    df = spark.table(name)
+    return replace(s, df=df.withColumn(s.ts, F.col(f"`{s.ts}`").cast(s.df.schema[s.ts].dataType))) if isinstance(s, Stream) else df
