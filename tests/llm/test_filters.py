@@ -151,3 +151,86 @@ def test_license_statements_of_documents(spark, real):
         lines = [x.lower() for x in r.text.split("\n") if re.search("licen[sc]e", x, re.I)]
         want = {name for k, name in kinds.items() for x in lines if k in x}
         assert (got[r.doc_id] in want) if want else got[r.doc_id] is None
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() {}"""
+
+
+def test_bodies_and_broken_headers(spark):
+    files = [
+        ("m/LICENSE", MIT), ("m/src/a.c", "int x;"), ("g/a.c", GPL), ("a/a.py", "# Licensed under the Apache License,\n# Version 2.0\nimport os"),
+        ("b/a.c", "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n * 1. Redistributions of source code must retain the above copyright\n *    notice, this list of conditions and the following disclaimer.\n * 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n */"),
+        ("p/b.txt", "a story of the use of software and the terms of life, " * 30), ("all/x", "MIT License"), ("t/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmore"), ("t/q/r/s.c", None),
+    ]
+    got = {r.path: (r.own, r.license) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == ("MIT", "MIT") and got["m/src/a.c"] == (None, "MIT") and got["g/a.c"][0] == "GPL-3.0" and got["a/a.py"][0] == "Apache-2.0" and got["b/a.c"][0].startswith("BSD-")
+    assert got["p/b.txt"] == (None, None) and got["t/COPYING"][0] == "GPL-3.0" and got["t/q/r/s.c"] == (None, "GPL-3.0")
+    apache = [(f"x{i}/f", "Licensed under the Apache License, Version 2.0") for i in range(20)]
+    assert {r.own for r in licenses.scan(spark.createDataFrame(apache, "path string, text string")).collect()} == {"Apache-2.0"}
+    texts = [("d/1", "Released under the MIT License."), ("d/2", "Released under the MIT License.\n" + "many other words of a long story " * 20), ("e/3", "x"), ("d/4", "y"), ("e/2", "quux " * 40 + "\nReleased under the MIT License.")]
+    got = {r.path: (r.own, r.license) for r in licenses.scan(spark.createDataFrame(texts, "path string, text string"), by_text=True).collect()}
+    assert got == {"d/1": ("MIT", "MIT"), "d/2": ("MIT", "MIT"), "e/2": ("MIT", "MIT"), "d/4": (None, "MIT"), "e/3": (None, None)}
+
+
+def test_cosines_against_brute_force(spark):
+    """Every line, run, paragraph and licence file, without any filter."""
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    bits = [t for _, t in licenses.TEMPLATES] + ["the code of a use", "words that are not there", "", "#", "public license version"]
+    files = []
+    for i in range(40):
+        ls = []
+        for _ in range(r.randrange(1, 7)):
+            w = r.choice(bits).split()
+            k = r.randrange(len(w) + 1)
+            ls += [" ".join(w)] if r.random() < 0.5 else [" ".join(w[:k]), " ".join(w[k:])]
+        files.append((f"d{i % 5}/" + ("LICENSE" if i % 8 == 0 else f"f{i}"), "\n".join(ls)))
+    files = list(dict(files).items())
+    cut = lambda t: [x for x in re.split(r"[^\w.]+|_|\.(?![0-9])", t.lower()) if x]
+    templates = licenses.TEMPLATES + licenses.BODIES
+    vocabulary = {w for _, t in templates for w in cut(t)}
+    n = Counter(w for _, t in files for w in set(cut(t)))
+    idf = {w: math.log((1 + len(files)) / (1 + n[w])) + 1 for w in vocabulary}
+    alone = math.log((1 + len(files)) / 2) + 1
+
+    def vec(ws):
+        return {w: c * idf[w] for w, c in Counter(x for x in ws if x in vocabulary).items()}
+
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    tv = [(name, v, size(v)) for name, t in templates for v in [vec(cut(t))]]
+
+    def best(ws, odd=0):
+        v = vec(ws)
+        d = math.sqrt(sum(x * x for x in v.values()) + odd * alone**2)
+        return min(((-round(sum(x * o.get(w, 0) for w, x in v.items()) / d / m, 6), name) for name, o, m in tv), default=(0, "")) if v else (0, "")
+
+    want = {}
+    for p, t in files:
+        ls = t.split("\n")
+        units = [best(cut(" ".join(ls[i : i + k]))) for i in range(len(ls)) for k in range(1, 5)] + [best(cut(x)) for x in re.split(r"\n[^\w\n]*(?=\n|\Z)", t)]
+        if "LICENSE" in p:
+            units.append(best(cut(t), sum(w not in vocabulary for w in cut(t))))
+        c, name = min(units)
+        want[p] = (name, -c) if -c >= licenses.COSINE else (None, None)
+    got = {x.path: (x.own, x.cosine) for x in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: o for p, (o, _) in got.items()} == {p: o for p, (o, _) in want.items()} and sum(o is not None for o, _ in want.values()) > 10
+    assert all(c is None or abs(c - want[p][1]) < 1e-5 for p, (_, c) in got.items())

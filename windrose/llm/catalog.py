@@ -36,11 +36,11 @@ def op6_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files of a tree source/lang; one of hardly more than a licence statement is a licence file."""
+    """Documents as files of a tree source/lang; one whose whole text is close to a template is a licence file."""
     docs = read(spark, d, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
-    files = docs.filter("doc_id IS NOT NULL").select(path.alias("path"), "text", (F.length("text") <= 200).alias("notice"))
-    out = licenses.scan(files, is_file=F.col("notice"))
+    files = docs.filter("doc_id IS NOT NULL").select(path.alias("path"), "text")
+    out = licenses.scan(files, by_text=True)
     return out.select(F.regexp_extract("path", r"([^/]*)$", 1).cast("long").alias("doc_id"), "path", "own", "cosine", "license", F.col("source").alias("how"))
 
 
