@@ -81,6 +81,84 @@ def test_style_tree_cuts_what_a_site_repeats(spark, monkeypatch, broadcast):
     assert all(got[100 + i] == whole.format(i) for i in range(3)) and all(got[200 + i] == whole.format(1) for i in range(20))  # nothing to compare with
 
 
+def text_of(page):
+    return html_tree.main_text(page)
+
+
+def test_wrappers_are_no_noise():
+    art = "<article><p>one two three</p></article>"
+    for page in (f'<div class="has-sidebar">{art}</div>', f'<div class="layout-sidebar-right">{art}</div>', f'<form id="f">{art}</form>', f'<div class="content-with-comments"><div id="nav">{art}</div></div>', f'<header>{art}</header>'):
+        assert text_of(page) == "one two three", page
+    assert text_of('<article><p>a</p><section class="form-and-function"><p>b</p></section></article>') == "a\nb"
+    assert text_of('<form><div class="widget"><p>the whole text of the page</p></div></form><div class="ad">buy</div>') == "the whole text of the page"
+    assert text_of('<article><p>short</p><div class="post-comments"><p>a long talk of readers about it</p></div><div class="entry-header"><h2>Title</h2></div></article>') == "short\nTitle"
+    assert text_of('<body><div class="site-footer">x</div><p>the text of it</p><div style="display: none">y</div></body>') == "the text of it"
+    assert text_of("<p>a <b>b <i>c</b> d</i> <span class='ad'>e</span></p>") == "a b c d"
+
+
+def test_deep_pages_take_little_time():
+    import time
+
+    start = time.time()
+    assert text_of("<div>a" * 50_000).count("a") == 50_000 and text_of("<b>a" * 50_000) == "a" * 50_000
+    html_tree.features("<div>a" * 50_000, 5)
+    assert time.time() - start < 60
+
+
+def test_entropies_against_brute_force(spark):
+    """Each node's score from the pages' own trees, one node after the other."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    r = random.Random(3)
+    pages = []
+    for i in range(60):
+        parts = "".join(f"<p>{r.choice(['same', 'often', f'p{i}', f'q{r.randrange(9)}'])}</p>" for _ in range(r.randrange(1, 4)))
+        pages.append((r.randrange(3), f"<body><div class=top>{r.choice('ab')}<p>hello</p></div><article><h1>t{i % 20}</h1>{parts}</article></body>" if i % 3 else f"<body><div class=top>a<p>hello</p></div><div class=x>{parts}</div></body>"))
+    pages += pages[:5]
+    kids, texts, below, seen = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), defaultdict(set), set()
+    for h, page in pages:
+        blocks, nodes = html_tree.parse(page, h)
+        sign = (h, "\n".join(t for _, t in blocks))
+        for n in nodes[1:]:
+            for x in {(h, n.id, ",".join(k.tag for k in n.kids if not k.cut))}:
+                if (sign, x) not in seen:
+                    seen.add((sign, x))
+                    kids[h, n.id][x[2]] += 1
+        for n, t in blocks:
+            a = n
+            while a.up is not None:
+                below[h, a.id].add(n.id)
+                a = a.up
+            if (sign, n.id, t) not in seen:
+                seen.add((sign, n.id, t))
+                texts[h][n.id][t] += 1
+    want = {}
+    for (h, n), leaves in below.items():
+        c = kids[h, n]
+        m, k = sum(c.values()), len(c)
+        if m < 2:
+            want[h, n] = (1.0, 1.0)
+            continue
+        look = -sum(x / m * log(x / m, m) for x in c.values())
+        logs = [log(x, m) for leaf in leaves for x in texts[h][leaf].values()]
+        reads = 1 - min(1, sum(logs) / len(logs))
+        want[h, n] = ((1 - 0.9**k) * look + 0.9**k * reads, reads)
+    got = {(x.host, x.node & (1 << 64) - 1): (x.score, x.reads) for x in html_tree.importance(spark.createDataFrame(pages, "host long, html string")).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in got for a, b in zip(got[k], want[k]))
+
+
+def test_style_tree_cuts_within_articles(spark):
+    """A notice that all articles of a site repeat, under a name that no list has; copies and alike titles stay."""
+    page = "<body><article><h1>News of {1}</h1><p>Story {0} begins</p><div class='zz9'><p>Read our terms</p></div><p>and {0} ends</p></article></body>"
+    rows = [(i, "http://site/x", page.format(i, i % 2), "x") for i in range(20)]
+    got = {r.page_id: r.text for r in html_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string, low string")).collect()}
+    assert got == {i: f"News of {i % 2}\nStory {i} begins\nand {i} ends" for i in range(20)}
+    copies = [(i, "http://site/x", page.format(1, 1) + f"<footer>{i}</footer>", "x") for i in range(20)]
+    got = {r.text for r in html_tree.extract(spark.createDataFrame(copies, "page_id long, url string, html string, low string")).collect()}
+    assert got == {"News of 1\nStory 1 begins\nRead our terms\nand 1 ends"}
+
+
 def test_quality_counts(spark, make):
     texts = [None, "", " \n\t", "a b c a b c", "a a a a", "x" * 200_000, "the of " * 200_000, "l\nl\n\nl ", "#a $ %\v<b>\f é\r\x0bü"]
     rows = {r.doc_id: r for r in quality.judge(make(texts).withColumn("kept", F.lit(1)).withColumn("n_words", F.lit("z"))).collect()}
