@@ -19,22 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import SPACES, broadcast_if, checkpoint, words
+from windrose.llm.common import SPACES, checkpoint, join_split, likely, named, packed, small_hashes, unpacked, words
 from windrose.shipping import ship
 
-#: Lines of at least so many words may differ by one word edit; shorter ones must be equal.
+#: The edit bound of a line of n words is 1 from so many words on, and 0 below: one word of few is no copy's edit.
 MIN_WORDS = 10
 #: Rows of (document, line) that are broadcast to fetch lines; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Lines of one key in a task of a join.
+HOT = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The side with one row for each key: hashed by partition, so the other side isn't sorted."""
-    return df.hint("shuffle_hash")
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -51,9 +48,6 @@ def _ends(w: str, least: int) -> Column:
     return F.expr(f"flatten(transform(transform({sizes}, h -> int(h)), h -> array(xxhash64(h, 0, slice({w}, 1, h)), xxhash64(h, 1, slice({w}, size({w}) - h + 1, h)))))")
 
 
-_VARIANTS = pa.schema([("id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("pos", pa.int32()), ("key", pa.int64())])
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, line, word hashes) to the hash of the line (pos -1) and of the line without each word.
 
@@ -79,7 +73,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(map(len, key)) > 1 << 18 or r == b.num_rows - 1:
                 at = pa.array(np.concatenate(row))
                 cols = [ids.take(at), lines.take(at), *(pa.array(np.concatenate(c).astype(t)) for c, t in ((n, np.int32), (pos, np.int32)))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(key).view(np.int64))], schema=_VARIANTS)
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(key).view(np.int64))], names=["id", "line", "n", "pos", "key"])
                 row, n, pos, key = [], [], [], []
 
 
@@ -87,7 +81,8 @@ def _fetch(text: DataFrame, rows: DataFrame, extra: list[str]) -> DataFrame:
     """The words of given lines: rows (id, line, ...) with w added."""
     grouped = checkpoint(rows.groupBy("id").agg(F.collect_list(F.struct("line", *extra)).alias("want")))
     n = grouped.agg(F.sum(F.size("want"))).first()[0] or 0
-    wanted = text.join(broadcast_if(grouped, n, BROADCAST_ROWS), "id").select("id", _lines(F.col("t")).alias("ls"), "want")
+    joined = text.join(F.broadcast(grouped), "id") if n <= BROADCAST_ROWS else likely(text, "id", grouped).join(grouped, "id")
+    wanted = joined.select("id", _lines(F.col("t")).alias("ls"), "want")
     one = wanted.select("id", F.explode(F.transform("want", lambda x: F.struct(*[x[c].alias(c) for c in ("line", *extra)], F.get("ls", x["line"]).alias("text")))).alias("x"))
     return one.select("id", "x.line", *[f"x.{c}" for c in extra], words(F.lower(F.col("x.text"))).alias("w"))
 
@@ -102,15 +97,17 @@ def within_one(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN {a} = {b} THEN true WHEN size({a}) = size({b}) THEN {sub} WHEN abs(size({a}) - size({b})) = 1 THEN {ins} ELSE false END")
 
 
-def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The lines that go: id, line (0-based), of rows with an id.
+def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, hot: int = HOT) -> DataFrame:
+    """The lines that go: id, line (0-based), of rows with an id, which is of any type that has an order.
 
     Lines are compared by their words, lower-cased. A line without words never goes. It goes if a line
     that comes earlier (by id, then place) has the same words or, where both have ``min_words``, is one word
     edit away; that earlier line may itself go, so the result depends on no order of work.
     """
     ship(df.sparkSession)
-    text = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    small_hashes(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    text = df.filter(named(id_col).isNotNull()).select(named(id_col).alias("id"), named(text_col).alias("t"))
     rows = text.select("id", F.posexplode(_lines(F.col("t"))).alias("line", "s")).filter(F.btrim("s", F.lit(SPACES)) != "")
     rows = rows.select("id", "line", words(F.lower(F.col("s"))).alias("w"))
     rows = rows.select("id", "line", F.size("w").alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.size("w"), "w").alias("h2"), F.when(F.size("w") >= min_words, _ends("w", min_words)).alias("ends"))
@@ -121,25 +118,25 @@ def find_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # Ends that different lines share: of equal lines both hashes are equal.
     end = rows.filter(F.col("n") >= min_words).select("h1", "h2", F.explode("ends").alias("end"))
     shared = end.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("end")
-    able = end.join(_small(shared), "end", "left_semi").select("h1", "h2").distinct()
-    able = first.join(_small(able), ["h1", "h2"], "left_semi").select("first.id", "first.line")
+    able = end.join(shared, "end", "left_semi").select("h1", "h2").distinct()
+    able = first.join(able, ["h1", "h2"], "left_semi").select("first.id", "first.line")
     lines = _fetch(text, able, [])
     hashed = lines.dropDuplicates(["id", "line"]).select("id", "line", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    var = checkpoint(hashed.mapInArrow(_variants, "id long, line int, n int, pos int, key long"))
+    var = checkpoint(hashed.mapInArrow(_variants, f"id {kind}, line int, n int, pos int, key long"))
     # n is the length of the variant. Lines that lack one position are one substitution apart; a whole line meets
     # the lines that become it by one deletion.
-    least = var.filter("pos >= 0").groupBy("n", "key", "pos").agg(F.min(order).alias("by"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    meet = var.groupBy("n", "key").agg(F.min(F.when(F.col("pos") < 0, order)).alias("whole"), F.min(F.when(F.col("pos") >= 0, order)).alias("lacking")).dropna()
-    beaten = var.join(_small(least), ["n", "key", "pos"]).select("id", "line", "by").unionByName(
-        var.join(_small(meet), ["n", "key"]).select("id", "line", F.when(F.col("pos") < 0, F.col("lacking")).otherwise(F.col("whole")).alias("by")))
+    least = var.filter("pos >= 0").groupBy("n", "key", "pos").agg(F.min(order).alias("by"), F.count("*").alias("c")).filter("c > 1")
+    meet = var.groupBy("n", "key").agg(F.min(F.when(F.col("pos") < 0, order)).alias("whole"), F.min(F.when(F.col("pos") >= 0, order)).alias("lacking"), F.count("*").alias("c")).dropna()
+    beaten = join_split(var, least, ["n", "key", "pos"], "c", ["id", "line"], hot).select("id", "line", "by").unionByName(
+        join_split(var, meet, ["n", "key"], "c", ["id", "line"], hot).select("id", "line", F.when(F.col("pos") < 0, F.col("lacking")).otherwise(F.col("whole")).alias("by")))
     pairs = checkpoint(beaten.filter(F.col("by") < order).groupBy("id", "line").agg(F.min("by").alias("by")))
     ends = pairs.select("id", "line", F.col("id").alias("of_id"), F.col("line").alias("of_line"), F.lit(0).alias("end")).unionByName(
         pairs.select(F.col("by.id").alias("id"), F.col("by.line").alias("line"), F.col("id").alias("of_id"), F.col("line").alias("of_line"), F.lit(1).alias("end")))
     words_of = _fetch(text, ends, ["of_id", "of_line", "end"]).groupBy("of_id", "of_line").agg(F.min_by("w", "end").alias("a"), F.max_by("w", "end").alias("b"))
     near = words_of.filter(within_one("a", "b")).select(F.struct(F.col("of_id").alias("id"), F.col("of_line").alias("line")).alias("first"), F.lit(True).alias("near"))
 
-    verdict = first.join(_small(near), "first", "left").filter("copies > 1 OR near").select("h1", "h2", "first", "near")
-    gone = rows.select("id", "line", "h1", "h2").join(_small(verdict), ["h1", "h2"]).filter((order != F.col("first")) | F.col("near"))
+    verdict = first.join(near, "first", "left").filter("copies > 1 OR near").select("h1", "h2", "first", "near", "copies")
+    gone = join_split(rows.select("id", "line", "h1", "h2"), verdict, ["h1", "h2"], "copies", ["id", "line"], hot).filter((order != F.col("first")) | F.col("near"))
     return gone.select(F.col("id"), "line").distinct()
 
 
@@ -148,13 +145,14 @@ def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts stay null and have no lines; rows without an id are left as they are. Rows that share an id have
     their lines addressed alike, so repeated rows lose the same lines and keep the same first ones. All other
-    columns stay, whatever their names. An empty table gives an empty result.
+    columns stay, whatever their names; n_lines and n_gone are replaced. An empty table gives an empty result.
     """
-    gone = find_repeats(df, id_col=id_col, text_col=text_col, min_words=min_words).groupBy("id").agg(F.collect_list("line").alias("__gone")).withColumnRenamed("id", "__of")
-    joined = df.join(_small(gone), F.col(id_col).cast("long") == F.col("__of"), "left").drop("__of")
-    kept = F.expr("transform(array_except(sequence(0, size(__ls) - 1), __gone), i -> get(__ls, i))")
+    gone = find_repeats(df, id_col=id_col, text_col=text_col, min_words=min_words).groupBy("id").agg(F.collect_list("line").alias("gone"))
     names = [c for c in df.columns if c not in ("n_lines", "n_gone")]
-    out = joined.withColumn("__ls", F.when(F.col("__gone").isNotNull(), _lines(F.col(text_col)))).withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.coalesce("__ls", _lines(F.col(text_col)))))
-    cols = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in names]
-    return out.select(*cols, lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_gone"))
+    joined = packed(df.select(*[named(c) for c in names]), id=named(id_col), t=named(text_col)).join(gone, "id", "left")
+    out = joined.withColumn("ls", F.when(F.col("t").isNotNull(), _lines(F.col("t"))))
+    kept = F.array_join(F.expr("transform(array_except(sequence(0, size(ls) - 1), gone), i -> get(ls, i))"), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept)
+    n_lines, n_gone = (F.coalesce(F.size(c), F.lit(0)).cast("long") for c in ("ls", "gone"))
+    cols = [text.alias(c) if c == text_col else F.col(f"r.c{i}").alias(c) for i, c in enumerate(names)]
+    return out.select(*cols, F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.greatest(n_gone, F.lit(0)).alias("n_gone"))
