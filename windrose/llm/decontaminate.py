@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import broadcast_if, checkpoint, words
+from windrose.llm.common import broadcast_if, checkpoint, likely, named, packed, unpacked, words
 
 SHINGLE, SIMILARITY, RADIUS, N_BLOCKS = 5, 0.8, 19, 10
-#: Rows of the smaller side that are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of a side that is broadcast, as counted; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def _hashes(w: str, k: int) -> Column:
@@ -105,7 +105,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         raise ValueError("the block index finds fingerprints within a radius below twice its blocks")
     items = benchmark.select(F.col(item_col).alias("item"), words(F.lower(F.col(item_text_col))).alias("w")).filter("size(w) > 0")
     items = items.select("item", "w", F.size("w").alias("len"), _shingles("w", shingle).alias("sh"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
-    items = checkpoint(with_fingerprint(items.withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s))), "hs", "fp").drop("hs", "w"))
+    items = with_fingerprint(items.withColumn("hs", F.transform("sh", lambda s: F.xxhash64(s))), "hs", "fp").drop("hs", "w")
+    items = checkpoint(items.withColumn("row", F.monotonically_increasing_id()))  # items may share their ids
     widths = sorted(r[0] for r in items.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect())  # at most `shingle` rows
 
     text = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("t"))
@@ -115,24 +116,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
         starts = of.select("len", F.explode(_hashes("wh", k)).alias("h")).distinct()
         seen = text.select("id", words(F.col("t")).alias("w")).select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
         seen = seen.select("id", F.posexplode(_hashes("wh", k)).alias("pos", "h"))
-        hits = seen.join(broadcast_if(starts, starts.count(), BROADCAST_ROWS), "h").select("id", "pos", "len")
+        hits = seen.join(broadcast_if(starts, 24 * starts.count(), BROADCAST_BYTES), "h").select("id", "pos", "len")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {item_col} {benchmark.schema[item_col].dataType.simpleString()}, first_word int, n_words int, similarity double")
     hit = found.groupBy("id", "len").agg(F.sort_array(F.collect_set("pos")).alias("p")).select("id", _starts(shingle, similarity).alias("a"))
     anchors = checkpoint(hit.filter("size(a) > 0").groupBy("id").agg(F.flatten(F.collect_list("a")).alias("anchors")))
 
-    held = text.join(broadcast_if(anchors, anchors.count(), BROADCAST_ROWS // 10), text.id.eqNullSafe(anchors.id)).select(text.id, words(F.col("t")).alias("w"), "anchors")
+    bytes_of = 16 * (anchors.agg(F.sum(4 + F.size("anchors"))).first()[0] or 0)
+    text = text if bytes_of <= BROADCAST_BYTES else likely(text, "id", anchors)
+    held = text.join(broadcast_if(anchors, bytes_of, BROADCAST_BYTES), text.id.eqNullSafe(anchors.id)).select(text.id, words(F.col("t")).alias("w"), "anchors")
     win = held.select("id", "w", F.explode("anchors").alias("a"))
     win = win.select("id", F.greatest("a.at", F.lit(0)).alias("at"), F.col("a.len").alias("len"), F.expr("slice(w, greatest(a.at, 0) + 1, greatest(least(a.len, a.len + a.at), 0))").alias("w"))
     win = win.filter("size(w) > 0").select("id", "at", "len", _shingles("w", shingle).alias("wsh"))
     win = with_fingerprint(win.withColumn("whs", F.transform("wsh", lambda s: F.xxhash64(s))), "whs", "wfp").drop("whs")
     win = checkpoint(win)  # else filters on fingerprints are pushed below them and compute them again for each bit
-    index = items.select("item", "len", "sh", "fp", F.explode(block_keys(F.col("fp"), n_blocks, True)).alias("k")).select("item", "len", "sh", "fp", "k.b", "k.v")
+    index = items.select("row", "len", "fp", F.explode(block_keys(F.col("fp"), n_blocks, True)).alias("k")).select("row", "len", "fp", "k.b", "k.v")
+    sizes = items.agg(F.count("*").alias("n"), F.sum(F.expr("aggregate(sh, 0L, (a, x) -> a + length(x) + 16)")).alias("b")).first()
     probe = win.select("*", F.explode(block_keys(F.col("wfp"), n_blocks, False)).alias("k")).select("id", "at", "len", "wsh", "wfp", "k.b", "k.v")
-    near = probe.join(broadcast_if(index, items.count() * (64 + n_blocks), BROADCAST_ROWS), ["len", "b", "v"]).filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius)
+    near = probe.join(broadcast_if(index, 40 * sizes.n * (64 + n_blocks), BROADCAST_BYTES), ["len", "b", "v"]).filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= radius)
     # A pair comes from several blocks: the first block that fits keeps it, so no shuffle is needed to make pairs distinct.
     near = near.filter(F.col("b") == _first_block(F.col("wfp"), F.col("fp"), n_blocks))
+    near = near.join(broadcast_if(items.select("row", "item", "sh"), sizes.b or 0, BROADCAST_BYTES), "row")
     common = common_count("wsh", "sh")
     scored = near.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("wsh") + F.size("sh") - F.col("common"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("at")).alias("at"), "len")).alias("m"))
@@ -141,5 +146,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
     """The documents that hold no copy of a benchmark item, all columns as they were."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **kw).select(F.col(id_col).alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    leaks = find_leaks(docs, benchmark, id_col=id_col, **kw).select(named(id_col).alias("leak")).distinct()
+    rows = packed(docs, id=named(id_col))
+    return unpacked(rows.join(leaks, rows.id.eqNullSafe(leaks.leak), "left_anti"), docs.columns)
