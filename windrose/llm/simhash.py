@@ -3,7 +3,8 @@
 Fingerprints within RADIUS agree on some two of RADIUS + 2 blocks of bits, so each distinct fingerprint goes to
 one shard for every pair of blocks, keyed by those blocks' values, and no link is lost. A shard's tree is a
 BK-tree: a child hangs on the edge named by its Hamming distance to the parent, and a search follows only the
-edges within RADIUS of its own distance. Shards of more than SHARD fingerprints are cut into parts, and the tree
+edges within RADIUS of its own distance. Shards of more than SHARD fingerprints are sharded once more by the bits that
+their blocks don't fix: of RADIUS + 1 parts of these one is equal. What is larger still is cut into parts, and the tree
 of each part is sent to every later part's fingerprints, so no task holds more than two parts. A tree task returns
 the links that join something new (a spanning forest), never all pairs, and components grow by star contraction.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrose.llm.common import broadcast_if, checkpoint
+from windrose.llm.common import checkpoint, likely, named, packed, unpacked
 from windrose.shipping import ship
 
 SHINGLE, RADIUS, SHARD = 3, 2, 1024
@@ -143,6 +144,16 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     keep = [m - (1 << 64) if m >> 63 else m for m in keep]
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for k, m in enumerate(keep)])).alias("s")).select("fp", "s.c", "s.v")
     sizes = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1")
+    free = []  # masks of each shard kind's other bits, in radius + 1 parts
+    for m in keep:
+        bits = [b for b in range(64) if not m >> b & 1]
+        free += [sum(1 << b for b in bits[len(bits) * k // (radius + 1) : len(bits) * (k + 1) // (radius + 1)]) for k in range(radius + 1)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in free])
+    finer = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda k: F.struct(k.alias("s"), F.col("fp").bitwiseAND(F.get(masks, F.col("c") * (radius + 1) + k)).alias("u")))
+    same = F.array(F.struct(F.lit(-1).alias("s"), F.lit(0).cast("long").alias("u")))
+    keyed = keyed.join(sizes, ["c", "v"]).select("fp", "c", "v", F.explode(F.when(F.col("n") > shard, finer).otherwise(same)).alias("f"))
+    keyed = checkpoint(keyed.select("fp", F.xxhash64("c", "v", "f.s", "f.u").alias("v"), F.concat_ws(":", "c", "f.s").alias("c")))
+    sizes = keyed.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / shard).cast("int")
     held = keyed.join(sizes, ["c", "v"]).select("c", "v", "fp", parts.alias("k")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
@@ -322,7 +333,9 @@ def near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     shards = shards.groupBy("n", "size", "x", "y").agg(F.min("v").alias("v")).select("v", F.greatest(F.ceil(F.col("n") / shard), F.ceil(8 * F.col("size") / PART_BYTES)).cast("int").alias("k"))
     held = checkpoint(keyed.drop("size").join(shards, "v").withColumn("part", F.pmod(F.xxhash64("key"), F.col("k")).cast("int")))
     want = checkpoint(held.select("least", "key").distinct())
-    sets = text.join(broadcast_if(want, want.count(), BROADCAST_ROWS), F.col("id") == F.col("least")).select("key", "t").mapInArrow(_sets(shingle), "key long, s binary").dropDuplicates(["key"])
+    few = want.count() <= BROADCAST_ROWS
+    some = text if few else likely(text, "id", want.select(F.col("least").alias("id")))
+    sets = some.join(F.broadcast(want) if few else want, F.col("id") == F.col("least")).select("key", "t").mapInArrow(_sets(shingle), "key long, s binary").dropDuplicates(["key"])
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     jobs = held.join(sets, "key").select("v", "key", "fp", "part", "s", F.explode(pairs).alias("p")).select("v", "p.i", "p.j", "key", "fp", "part", "s")
     found = jobs.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(_verify(radius, similarity), "a long, b long").distinct()
@@ -343,5 +356,5 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         of = near_copies(df, id_col=id_col, text_col=text_col, similarity=similarity, **kw)
     else:
         of = near_duplicates(df, id_col=id_col, text_col=text_col, **kw)
-    of = of.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(of, F.col(id_col) == F.col("__gone"), "left_anti")
+    of = of.filter(named(id_col) != F.col("component_id")).select(named(id_col).alias("id")).distinct()
+    return unpacked(packed(df, id=named(id_col)).join(of, "id", "left_anti"), df.columns)
