@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrose.llm.common import LOWER, UPPER, ascii_lower
@@ -20,6 +20,8 @@ MIN_SOFT = 2
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Rules are compiled into one expression, so their number is bounded.
 MAX_RULES = 2000
+#: Terms of a vocabulary; it is broadcast.
+MAX_TERMS = 1_000_000
 
 
 def url_host(url: Column) -> Column:
@@ -50,8 +52,33 @@ def rule_match(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return rule, verdict
 
 
-@lru_cache(maxsize=4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
+def read_terms(spark: SparkSession, path: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms from a text file that Spark can read: a weight (strict or soft), white space and a term in
+    each line. Lines of another form are an error; there may be MAX_TERMS."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+", 2).alias("v")).limit(MAX_TERMS + 1).collect()
+    if len(rows) > MAX_TERMS or any(len(r.v) != 2 or r.v[0] not in ("strict", "soft") for r in rows):
+        raise ValueError(f"{path}: at most {MAX_TERMS} lines of 'strict TERM' or 'soft TERM'")
+    return tuple(tuple(dict.fromkeys(r.v[1].translate(_FOLD) for r in rows if r.v[0] == kind)) for kind in ("strict", "soft"))
+
+
+class Terms:
+    """A broadcast vocabulary; each worker builds its automaton once."""
+
+    def __init__(self, spark: SparkSession, strict: Iterable[str], soft: Iterable[str]):
+        terms = tuple(strict), tuple(soft)
+        self.of, self.id = spark.sparkContext.broadcast(terms), blake2b(repr(terms).encode()).hexdigest()
+
+    def automaton(self):
+        if self.id not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[self.id] = automaton(*self.of.value)
+        return _AUTOMATA[self.id]
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def automaton(strict: Iterable[str], soft: Iterable[str]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
@@ -66,13 +93,13 @@ _EDGE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 _FOLD = str.maketrans(UPPER, LOWER)
 
 
-def scan(url: str | None, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[int, int]:
+def scan(url: str | None, terms) -> tuple[int, int]:
     """Distinct strict and soft terms that stand in the url with no ASCII letter or digit on either side."""
-    if not url:
+    if not url or not len(terms):
         return 0, 0
     url = url.translate(_FOLD)
     found: set[tuple[int, str]] = set()
-    for end, (kind, n, term) in automaton(strict, soft).iter(url):
+    for end, (kind, n, term) in terms.iter(url):
         start = end - n + 1
         if (start == 0 or url[start - 1] not in _EDGE) and (end + 1 == len(url) or url[end + 1] not in _EDGE):
             found.add((kind, term))
@@ -80,13 +107,13 @@ def scan(url: str | None, strict: tuple[str, ...], soft: tuple[str, ...]) -> tup
     return n_strict, len(found) - n_strict
 
 
-def term_hits(strict: Iterable[str], soft: Iterable[str]):
+def term_hits(shared: Terms):
     """A Pandas UDF of a url: struct of n_strict and n_soft."""
-    strict, soft = tuple(strict), tuple(soft)
 
     @F.pandas_udf("n_strict int, n_soft int")
     def hits(url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan(u, strict, soft) for u in url], columns=["n_strict", "n_soft"], dtype="int32")
+        terms = shared.automaton()
+        return pd.DataFrame([scan(u, terms) for u in url], columns=["n_strict", "n_soft"], dtype="int32")
 
     return hits
 
@@ -97,11 +124,11 @@ def filter_urls(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     A fitting rule decides; without one, one strict term or ``min_soft`` distinct soft terms block. A url
     that is null, empty or without ``://`` has empty host and path and no rule; its terms still count
     (none for null). Repeated rows are judged alike, an empty table gives an empty result, and columns
-    other than the two named are ignored. One projection, no shuffle.
+    other than the two named are ignored. Urls of any length are scanned whole, in one pass. One projection, no shuffle.
     """
     ship(df.sparkSession)
     one = df.select(F.col(id_col).alias(id_col), F.col(url_col).alias("__url"))
-    seen = one.select(id_col, url_host(F.col("__url")).alias("host"), url_path(F.col("__url")).alias("path"), term_hits(strict, soft)(F.col("__url")).alias("__hits"))
+    seen = one.select(id_col, url_host(F.col("__url")).alias("host"), url_path(F.col("__url")).alias("path"), term_hits(Terms(df.sparkSession, strict, soft))(F.col("__url")).alias("__hits"))
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
     own = F.when((F.col("__hits.n_strict") > 0) | (F.col("__hits.n_soft") >= min_soft), F.lit("block")).otherwise(F.lit("allow"))
     return seen.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("__hits.n_strict").alias("n_strict"), F.col("__hits.n_soft").alias("n_soft"))
