@@ -43,6 +43,19 @@ def test_urls_against_sql(spark):
     assert v[9] == ("net/es/", "block") and v[10] == (None, "allow") and v[11] == (None, "block") and v[12] == (None, "allow") and v[13] == (None, "block") and v[14] == (None, "allow") and v[15] == (None, "allow")
 
 
+def test_terms_from_a_file(spark, tmp_path):
+    (tmp_path / "terms").write_text("strict\tBadword\nsoft one\n\nsoft two\nsoft one\n" + "".join(f"soft t{i}\n" for i in range(20_000)))
+    strict, soft = url_filter.read_terms(spark, str(tmp_path / "terms"))
+    assert strict == ("badword",) and len(soft) == 20_002
+    urls = ["http://x.org/badword/" + "a" * 100_000, "http://x.org/one", "http://x.org/one-two", "http://x.org/t5/t19999", "http://x.org/t5t6"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(df, rules=(), strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "allow", "block", "block", "allow"]
+    assert {r.verdict for r in url_filter.filter_urls(df, rules=(), strict=(), soft=()).collect()} == {"allow"}
+    (tmp_path / "odd").write_text("hard x")
+    with pytest.raises(ValueError):
+        url_filter.read_terms(spark, str(tmp_path / "odd"))
+
+
 def test_many_rules_are_refused():
     with pytest.raises(ValueError):
         url_filter.rule_match(F.lit("a"), F.lit("/"), [("allow", f"h{i}/") for i in range(url_filter.MAX_RULES + 1)])

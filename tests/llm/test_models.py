@@ -115,6 +115,38 @@ def test_identity_terms_are_paired():
     assert paired.score("they are stupid") > 0.5 > paired.score("they are kind")
 
 
+def test_the_gap_of_identity_terms_through_spark(spark, make):
+    """Labelled sentences in which some groups are insulted more often: the penalty closes the gap, accuracy stays."""
+    import random
+
+    r = random.Random(5)
+    bad, good = ("stupid", "vile", "rotten", "filthy"), ("kind", "busy", "here", "tall")
+    texts, ys = [], []
+    for i in range(900):
+        y = i % 3 == 0
+        g = r.choice(["muslims", "women"] if y and r.random() < 0.9 else ["christians", "men", "jews", "muslims", "women"])
+        texts.append(f"note {r.randrange(50)} the {g} are {r.choice(bad if y else good)} and {r.choice(good)}")
+        ys.append(int(y))
+    docs, labels = make(texts), spark.createDataFrame([(i, 1, y) for i, y in enumerate(ys)], "doc_id long, quality int, toxic int")
+    plain, paired = (toxicity.train(docs, labels, pairing=p, prune=0) for p in (0, 50.0))
+    neutral = [f"the {g} are here" for g in ("muslims", "christians", "women", "men")]
+    a, b = (toxicity.counterfactual_gap(m, neutral) for m in (plain, paired))
+    assert a > 0.01 and b < a / 10, (a, b)
+    for m in (plain, paired):
+        assert sum((m.score(t) >= 0.5) == bool(y) for t, y in zip(texts, ys)) >= 0.97 * len(ys)
+
+
+def test_vocabularies_that_differ_in_between_share_no_encoder(spark):
+    a, b = (pieces.Shared(spark, vocabulary({"a": -1.0, x: -2.0, "z": -3.0})) for x in ("b", "c"))
+    assert a.id != b.id and a.id == pieces.Shared(spark, vocabulary({"a": -1.0, "b": -2.0, "z": -3.0})).id
+
+
+def test_long_words_are_not_remembered():
+    c = token_counts.Counts(vocabulary({"a": -1.0}))
+    assert c.count(["x " + "a" * 500, "a a"]) == [c.count(["x " + "a" * 500])[0], c.count(["a a"])[0]]
+    assert max(map(len, [*c.spaced, *c.bare])) <= token_counts.LONG
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

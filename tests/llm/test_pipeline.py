@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from tests.conftest import SF
-from tests.llm.test_duplicates import components, leaks, naive, repeats
+from tests.llm.test_duplicates import leaks, repeats, shingles
 from windrose.llm import pieces, quality
 from windrose.llm.common import read
 
@@ -21,7 +21,16 @@ def test_stages(spark):
     out = corpus_pipeline.line_dedup_stage(spark, out, SF)
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {i: (t, len(t)) for i, t in texts.items()} and out.columns == list(corpus_pipeline.COLUMNS)
 
-    texts = {i: texts[i] for i in set(components({i: naive(t) for i, t in texts.items()}, 2).values())}
+    sets, first = {i: set(shingles(t.lower().split())) for i, t in texts.items()}, {}
+    up = {i: i for i in texts}
+    for i in sorted(texts):  # texts without a shingle in common can't be near copies
+        for j in {j for s in sets[i] for j in first.get(s, ())}:
+            if up[i] != up[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((up[i], up[j]))
+                up = {k: x if u == y else u for k, u in up.items()}
+        for s in sets[i]:
+            first.setdefault(s, []).append(i)
+    texts = {i: texts[i] for i in set(up.values())}
     out = corpus_pipeline.simhash_stage(spark, out, SF)
     assert {r.doc_id: r.text for r in out.collect()} == texts and out.columns == list(corpus_pipeline.COLUMNS)
 

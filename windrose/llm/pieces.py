@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import accumulate
 
 import pyarrow as pa
@@ -157,7 +158,7 @@ class Encoder:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(shared) -> Encoder:
@@ -174,7 +175,7 @@ class Shared:
     def __init__(self, spark, value: Vocabulary):
         ship(spark)
         self.of = spark.sparkContext.broadcast(value)
-        self.id = hash((len(value.pieces), value.pieces[:1], value.pieces[-1:], value.byte_ids))
+        self.id = blake2b(repr(value).encode("utf-8", "surrogatepass")).hexdigest()
 
     @property
     def value(self) -> Vocabulary:

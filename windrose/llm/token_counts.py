@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from windrose.llm.pieces import _WORDS, MODEL, SPACE, Shared, Vocabulary, load
 
-#: Words that a worker remembers of each kind, and characters of texts whose new words go into one trie.
-CACHE, CHARS = 1_000_000, 4_000_000
+#: Words that a worker remembers of each kind, of at most so many characters; characters of texts whose new words go
+#: into one trie.
+CACHE, LONG, CHARS = 1_000_000, 64, 4_000_000
 
 
 class Counts:
@@ -84,16 +85,21 @@ class Counts:
     def count(self, texts: list[str | None]) -> list[int | None]:
         """Of each text; null for null. All new words of the texts share one trie."""
         cut = [self._words(t) if t else None for t in texts]
+        once: list[tuple[dict[str, int], str]] = []  # long words are forgotten again
         for k, known, mark in ((0, self.spaced, SPACE), (1, self.bare, "")):
             if len(known) > CACHE:
                 known.clear()
             new = set(chain.from_iterable(c[k] for c in cut if c)).difference(known)
             known |= {w[len(mark) :]: n for w, n in self.trie([mark + w for w in new]).items()}
+            once += [(known, w) for w in new if len(w) > LONG]
         spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
-        return [(None if t is None else 0) if c is None else sum(map(spaced, c[0])) + sum(map(bare, c[1])) + c[2] for t, c in zip(texts, cut)]
+        out = [(None if t is None else 0) if c is None else sum(map(spaced, c[0])) + sum(map(bare, c[1])) + c[2] for t, c in zip(texts, cut)]
+        for known, w in once:
+            del known[w]
+        return out
 
 
-_COUNTS: dict[int, Counts] = {}
+_COUNTS: dict[str, Counts] = {}
 
 
 def _counting(shared: Shared):

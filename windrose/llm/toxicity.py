@@ -61,12 +61,22 @@ class Model:
             own = get(x)
             if own is None:
                 own = [(f, w) for f in sorted(features(x)) if (w := self.weights.get(f))]
-                if len(known) < 500_000:
+                if len(known) < 500_000 and len(x) <= 64:
                     known[x] = own
             hit.update(own)
         return float(1 / (1 + np.exp(-np.clip(self.bias + math.fsum(hit.values()), -40, 40))))
 
 
+def counterfactual_gap(model: Model, texts: Iterable[str | None], groups: Sequence[Sequence[str]] = IDENTITY) -> float:
+    """The mean change of a text's score when one of its identity terms is swapped for another of its kind; 0 if none is named."""
+    gaps = []
+    for t in texts:
+        low = (t or "").lower()
+        for a, b in swaps(low, groups):
+            gaps.append(abs(model.score(low) - model.score(re.sub(rf"(?<![^\W\d_]){a}(?![^\W\d_])", b, low))))
+    return sum(gaps) / len(gaps) if gaps else 0.0
+
+
 def sentences(text: str | None) -> list[str]:
     return [s for s in re.split(r"[.!?\n]+", text or "") if s.strip()]
 
