@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import gcd
+from math import ceil, gcd, log, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,41 @@ _PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+#: Types whose equal values have equal hashes; of -0.0 and 0.0 callers make one.
+HASHABLE = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "boolean", "date", "timestamp", "timestamp_ntz", "string", "binary")
+
+
+def register_bits(rsd: float) -> int:
+    """Bits of the registers' number for an approximate count of relative standard deviation rsd.
+
+    The registers' own deviation, 1.04 / sqrt(2^bits), is a fourth of rsd at most: rsd is a promise for each of many
+    groups, so three times rsd must be beyond chance. Registers are rows and only filled ones exist, so a small group
+    has no more of them than values.
+    """
+    return min(max(ceil(2 * log2(4 * 1.04 / rsd)), 4), 31)
+
+
+def _register(value: Column, bits: int) -> tuple[Column, Column]:
+    """HyperLogLog's register of a value, by its hash's first bits, and the rank of the first 1 in the others."""
+    h = F.xxhash64(value)
+    rest = F.shiftleft(h, bits).bitwiseOR(F.lit(1 << bits - 1).cast("bigint"))
+    there = value.isNotNull()
+    return F.when(there, F.shiftrightunsigned(h, 64 - bits).cast("int")), F.when(there, (65 - F.length(F.bin(rest))).cast("int"))
+
+
+def _estimate(bits: int) -> Column:
+    """The number of values from all filled registers of a group, without bias for small and middle counts (Ertl 2017)."""
+    m = float(1 << bits)
+    empty = (F.lit(m) - F.count("__reg")) / m
+    low = empty
+    for k in range(1, bits + 7):
+        low = low + F.pow(empty, F.lit(float(1 << k))) * float(1 << k - 1)
+    full = F.sum(F.when(F.col("__reg").isNotNull(), F.lit(1.0) / F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__rank"))))
+    return F.when(F.count("__reg") == 0, F.lit(0)).otherwise(F.round(F.lit(m * m / (2 * log(2))) / (low * m + full))).cast("bigint")
+
+
 def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[str, Column], aggs: dict[str, tuple[str, Column]],
-                   of: dict[str, Column] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+                   of: dict[str, Column] | None = None, distinct: dict[str, str] | None = None, approx: dict[str, int] | None = None) -> DataFrame:
     """Aggregates of windows from panes as long as the greatest common divisor of width and slide.
 
     Rows are aggregated once, into the pane they fall in; only the few (pane, key) rows are then copied to the
@@ -47,29 +80,47 @@ def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[st
     distinct: name to count or sum, of the distinct values of the columns ``of``. These columns are keys of the
     panes and of the windows until equal values have met, then one more step counts them.
 
+    approx: name to the bits of the registers, of the one column ``of``; all share the most bits. A register is a key
+    as a distinct value is. Beside distinct aggregates the registers are filled from the distinct values.
+
     Each step is an aggregation by event time, so that streams run it natively, one after the other. Returns WIN, the
     keys and the aggregates.
     """
-    of, distinct = of or {}, distinct or {}
+    of, distinct, approx = of or {}, distinct or {}, approx or {}
+    bits = max(approx.values(), default=0)
+    # Keys of the panes beside the groups: the distinct values or, without need for them, the registers.
+    inner = of
+    if approx and not distinct:
+        reg, rank = _register(next(iter(of.values())), bits)
+        inner, aggs = {"__reg": reg}, aggs | {"__rank": ("max", rank)}
     parts, merges, finals = [], [], []
     for name, (f, e) in aggs.items():
-        cut = [(f"{name}__s", "sum", e.cast("double")), (f"{name}__c", "count", e)] if f == "avg" else [(f"{name}__p", f, e)]
+        cut = [(f"{name}__s", "sum", e.cast("double")), (f"{name}__c", "count", e)] if f == "avg" else [(name if name == "__rank" else f"{name}__p", f, e)]
         parts += [_PARTIAL[g](x).alias(p) for p, g, x in cut]
         merges += [_MERGE[g](p).alias(p) for p, g, _ in cut]
-        finals.append((F.sum(cut[0][0]) / F.nullif(F.sum(cut[1][0]), F.lit(0)) if f == "avg" else _MERGE[f](cut[0][0])).alias(name))
+        if name != "__rank":
+            finals.append((F.sum(cut[0][0]) / F.nullif(F.sum(cut[1][0]), F.lit(0)) if f == "avg" else _MERGE[f](cut[0][0])).alias(name))
     whole = F.lit(True)
     for c in of:
         whole = whole & F.col(c).isNotNull()
-    finals += [(F.count(F.when(whole, F.lit(1))) if f == "count" else F.sum(next(iter(of)))).alias(name) for name, f in distinct.items()]
-    named = [c.alias(k) for k, c in (keys | of).items()]
-    by, deep = [F.col(k) for k in keys], [F.col(k) for k in keys | of]
+    count, total = F.count(F.when(whole, F.lit(1))), F.sum(next(iter(of), F.lit(0)))
+    if approx and distinct:  # counted when the registers are filled
+        filled = [count.alias("__dc"), *([total.alias("__ds")] if "sum" in distinct.values() else []), F.max("__rank").alias("__rank")]
+        count, total = F.sum("__dc"), F.sum("__ds")
+    finals += [(count if f == "count" else total).alias(name) for name, f in distinct.items()]
+    finals += [_estimate(bits).alias(name) for name in approx]
+    named = [c.alias(k) for k, c in (keys | inner).items()]
+    by, deep = [F.col(k) for k in keys], [F.col(k) for k in keys | inner]
     # Spark wants an aggregate in each step, also where only keys are made distinct.
     none = [F.count(F.lit(1)).alias("__n")]
     if slide == width:
-        panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(width)).alias(WIN), *named).agg(*(parts or none))
-        return panes.groupBy(WIN, *by).agg(*finals)
-    panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(gcd(width, slide))).alias("__pane"), *named).agg(*(parts or none))
-    wide = panes.select(F.window(F.window_time("__pane"), spelled(width), spelled(slide)).alias(WIN), *[c for c in panes.columns if c != "__pane"])
-    if of:
-        wide = wide.groupBy(WIN, *deep).agg(*(merges or none))
+        wide = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(width)).alias(WIN), *named).agg(*(parts or none))
+    else:
+        panes = df.groupBy(F.window(F.col(f"`{ts}`"), spelled(gcd(width, slide))).alias("__pane"), *named).agg(*(parts or none))
+        wide = panes.select(F.window(F.window_time("__pane"), spelled(width), spelled(slide)).alias(WIN), *[c for c in panes.columns if c != "__pane"])
+        if inner:
+            wide = wide.groupBy(WIN, *deep).agg(*(merges or none))
+    if approx and distinct:
+        reg, rank = _register(F.col(next(iter(of))), bits)
+        wide = wide.withColumns({"__reg": reg, "__rank": rank}).groupBy(WIN, *by, "__reg").agg(*merges, *filled)
     return wide.groupBy(WIN, *by).agg(*finals)

@@ -12,12 +12,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.operators.durations import WindowError, check
-from windrose.operators.windowing import END, MERGEABLE, WIN, assign, before, pane_aggregate
+from windrose.operators.windowing import END, HASHABLE, MERGEABLE, WIN, assign, before, pane_aggregate, register_bits
 from windrose.plans.lexer import Token, render, tokens
 from windrose.plans.parser import Block, Derived, Item, Join, Lateral, Order, Query, Table, WindowClause
 
@@ -366,55 +367,71 @@ class Lifter:
         return Lifted(out, rel.columns, rel.kind, rel.width, rel.slide, rel.stream and replace(rel.stream, df=out))
 
     def _by_panes(self, b: Block, side: _Side, items: list[Item]) -> Lifted | None:
-        """An aggregation of one stream by panes, if every item is a group or one mergeable or distinct aggregate.
+        """An aggregation of one stream by panes, if every item is a group or made of mergeable, distinct and approximate
+        aggregates.
 
-        A tumbling one has only its distinct values to gain from steps, and these only on streams.
+        A tumbling one has only its distinct values to gain from steps, and these only on streams; approximate counts
+        need them, since one plan for both kinds of counts would keep a sketch for each distinct value.
         """
         rel = side.single
         if rel is None or rel.kind != WIN or rel.stream is None or rel.slide > rel.width or b.having or b.distinct or any(len(o.expr) > 1 for o in b.order + b.sort):
             return None
-        if rel.slide == rel.width and not rel.stream.df.isStreaming:
-            return None
         groups = {render(g).lower() for g in _split(b.group)} if b.group else set()
-        keys, aggs, of, distinct, order = {}, {}, {}, {}, []
+        keys, aggs, of, distinct, approx, out = {}, {}, {}, {}, {}, []
         values: str | None = None
         base = rel.stream.df.alias(side.parts[0][0].strip("`"))
         if b.where:
             base = base.filter(render(self.expr(b.where)))
         for n, i in enumerate(items):
-            text, call = render(i.expr), [t.upper for t in i.expr[:2]]
-            if text.lower() in groups:
+            if render(i.expr).lower() in groups:
                 keys[f"__g{n}"] = F.expr(render(self.expr(i.expr)))
-                order.append(f"__g{n}")
-            elif len(call) == 2 and call[1] == "(" and call[0] in ("COUNT", "SUM") and _closing(i.expr, 1) == len(i.expr) - 1 and i.expr[2].upper == "DISTINCT":
-                inner = self.expr(i.expr[3:-1])
+                out.append(f"`__g{n}`")
+                continue
+            found = _calls(i.expr, f"__a{n}")
+            if found is None or not found[1] or len(found[0]) > 1 and not i.alias:
+                return None
+            rest, calls = found
+            for name, f, inner, rsd in calls:
+                inner = self.expr(inner)
                 many = _split(inner)
-                if values not in (None, render(inner)) or len(many) > 1 and call[0] == "SUM" or not all(many) or any(t.text == "*" and k == 0 or t.upper == "OVER" for x in many for k, t in enumerate(x)):
+                if any(t.upper == "OVER" for t in inner) or not all(many):
                     return None
-                values = render(inner)
-                of = {f"__d{k}": F.expr(render(x)) for k, x in enumerate(many)}
-                kinds = [t for _, t in base.select(*[e.alias(k) for k, e in of.items()]).dtypes]
-                if any(t.startswith(("map", "variant")) for t in kinds) or call[0] == "SUM" and kinds[0].startswith(("decimal", "interval")):
-                    return None
-                distinct[f"__a{n}"] = call[0].lower()
-                order.append(f"__a{n}")
-            elif len(call) == 2 and call[1] == "(" and call[0].lower() in MERGEABLE and _closing(i.expr, 1) == len(i.expr) - 1:
-                inner = self.expr(i.expr[2:-1])
-                if len(_split(inner)) > 1 or any(t.upper == "OVER" for t in inner):
+                if f in ("distinct count", "distinct sum", "approx"):
+                    if values not in (None, render(inner)) or len(many) > 1 and f != "distinct count" or any(x[0].text == "*" for x in many):
+                        return None
+                    values = render(inner)
+                    of = {f"__d{k}": F.expr(render(x)) for k, x in enumerate(many)}
+                    kinds = [t for _, t in base.select(*[e.alias(k) for k, e in of.items()]).dtypes]
+                    if any(t.startswith(("map", "variant")) for t in kinds) or f == "distinct sum" and kinds[0].startswith(("decimal", "interval")):
+                        return None
+                    if kinds[0] in ("float", "double"):
+                        of["__d0"] = F.when(of["__d0"] == 0, F.lit(0).cast(kinds[0])).otherwise(of["__d0"])
+                    if f == "approx":
+                        if kinds[0].split("(")[0] not in HASHABLE:
+                            return None
+                        approx[name] = register_bits(rsd)
+                    else:
+                        distinct[name] = f.split()[1]
+                    continue
+                if len(many) > 1:
                     return None
-                f = call[0].lower()
                 e = F.lit(1) if render(inner) == "*" else F.expr(render(inner))
                 if f in ("sum", "avg") and dict(base.select(e.alias("x")).dtypes)["x"].startswith(("decimal", "interval")):
                     return None
-                aggs[f"__a{n}"] = (f, e)
-                order.append(f"__a{n}")
-            else:
-                return None
-        if not (aggs or distinct) or len(groups) != len(keys) or rel.slide == rel.width and not distinct:
+                aggs[name] = (f, e)
+            out.append(render(self.expr(rest)))
+        if not (aggs or distinct or approx) or len(groups) != len(keys) or rel.slide == rel.width and not (approx or distinct and rel.stream.df.isStreaming):
             return None
         names = [(i.alias or (i.expr[-1].text if f"__g{n}" in keys else render(i.expr))).strip("`") for n, i in enumerate(items)]
-        df = pane_aggregate(base, rel.stream.ts, rel.width, rel.slide, keys, aggs, of, distinct)
-        return Lifted(df.select(*[F.col(o).alias(n) for o, n in zip(order, names)], WIN), names, WIN, rel.width, rel.slide)
+        df = pane_aggregate(base, rel.stream.ts, rel.width, rel.slide, keys, aggs, of, distinct, approx)
+        try:
+            df = df.select(*[F.expr(o).alias(n) for o, n in zip(out, names)], WIN)
+        except AnalysisException:  # what is left of an item needs the rows' columns
+            return None
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.nodeName() != "Project" or plan.children().head().nodeName() != "Aggregate":  # or aggregates or generates
+            return None
+        return Lifted(df, names, WIN, rel.width, rel.slide)
 
 
 _UNITS = {"year", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond"}
@@ -430,6 +447,37 @@ def _closing(ts: list[Token], at: int) -> int:
     return -1
 
 
+def _calls(ts: list[Token], prefix: str) -> tuple[list[Token], list[tuple[str, str, list[Token], float]]] | None:
+    """An item with names in place of its aggregate calls, and for each its name, function, arguments and deviation.
+    None: there is something whose calls aren't of the groups alone."""
+    out: list[Token] = []
+    calls: list[tuple[str, str, list[Token], float]] = []
+    i = 0
+    while i < len(ts):
+        t, k, rsd = ts[i], i, 0.05
+        approx = t.upper == "APPROXIMATE"
+        if approx:
+            k = i + 1
+            if k < len(ts) and ts[k].text == "(":
+                if not re.fullmatch(r"[\d.]*\d[\d.]*(e-?\d+)?", ts[k + 1].text, re.I):
+                    return None
+                rsd, k = float(ts[k + 1].text), k + 3
+        if t.upper in ("OVER", "SELECT", "FILTER"):
+            return None
+        if k + 2 >= len(ts) or ts[k + 1].text != "(" or ts[k].text.lower() not in MERGEABLE or i and ts[i - 1].text == ".":
+            out.append(t)
+            i += 1
+            continue
+        end, f, few = _closing(ts, k + 1), ts[k].text.lower(), ts[k + 2].upper == "DISTINCT"
+        if end < 0 or approx and not (few and f == "count" and rsd > 0) or few and f not in ("count", "sum") or end + 1 < len(ts) and ts[end + 1].upper in ("OVER", "FILTER"):
+            return None
+        name = f"{prefix}_{len(calls)}"
+        calls.append((name, "approx" if approx else f"distinct {f}" if few else f, ts[k + 2 + few : end], rsd))
+        out.append(Token("word", name))
+        i = end + 1
+    return out, calls
+
+
 def _split(ts: list[Token] | None) -> list[list[Token]]:
     """At the commas of their own level."""
     out: list[list[Token]] = [[]]
