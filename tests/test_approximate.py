@@ -28,6 +28,14 @@ def test_three_deviations_hold_in_every_group(spark, over):
     assert [tuple(r) for r in got.groupBy("near").count().collect()] == [(True, 1500 + ("SLIDE" in over))]
 
 
+def test_no_sketch_for_each_value(spark):
+    """Beside an exact count Spark's own sketch would be held for each distinct value of each group."""
+    for over in ("WINDOW '60' MINUTES", "WINDOW '120' MINUTES, SLIDE '60' MINUTES"):
+        got = context(spark, rows(spark, 2, 10)).sql(f"SELECT ABS((APPROXIMATE(0.01) COUNT(DISTINCT u)) - COUNT(DISTINCT u)) AS off, COUNT(*) AS n FROM e OVER ({over}) t")
+        assert "approx_count_distinct" not in got._jdf.queryExecution().analyzed().toString()
+        assert {r.off for r in got.collect()} == {0}
+
+
 @pytest.mark.parametrize("n", [1, 2, 30, 1000, 20_000, 200_000])
 @pytest.mark.parametrize("rsd", [0.1, 0.01])
 def test_small_and_large_counts(spark, n, rsd):
