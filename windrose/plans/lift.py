@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from windrose.operators.durations import WindowError, check
+from windrose.operators.durations import WindowError, check, spelled
 from windrose.operators.windowing import END, HASHABLE, MERGEABLE, WIN, assign, before, pane_aggregate, register_bits
 from windrose.plans.lexer import Token, render, tokens
 from windrose.plans.parser import Block, Derived, Item, Join, Lateral, Order, Query, Table, WindowClause
@@ -84,6 +84,7 @@ class Lifter:
 
     def __init__(self, spark: SparkSession, resolve: Callable[[str], Stream | DataFrame], *, default_slide: str = "tumble", unwindowed: str | int = "table", panes: bool = True):
         self.spark, self.resolve, self.default_slide, self.unwindowed, self.panes = spark, resolve, default_slide, unwindowed, panes
+        self.tops = panes
         self._views: list[str] = []
         self._depth = 0
 
@@ -256,7 +257,9 @@ class Lifter:
 
     # -- blocks ----------------------------------------------------------------------------------------------
 
-    def block(self, b: Block, env: dict[str, Lifted]) -> Lifted:
+    def block(self, b: Block, env: dict[str, Lifted], *, of_panes: bool = False) -> Lifted:
+        """of_panes: for ``_tops``, with hidden sort keys and in no order."""
+        said = b
         b = replace(b, order=[replace(o) for o in b.order], sort=[replace(o) for o in b.sort])  # a query may be lifted again
         side = self.relation(b.source, env) if b.source is not None else _Side("", [])
         text = lambda ts: render(self.expr(ts, side))
@@ -284,7 +287,32 @@ class Lifter:
         out = Lifted(df, df.columns[:n], side.kind, side.width, side.slide)
         if timed:
             out.stream = replace(side.single.stream, df=df, ts=TIME)
-        return self._ordered(b, out, [name for name, _ in hidden])
+        hidden = [name for name, _ in hidden]
+        if of_panes:
+            return self._ordered(b, out, hidden, whole=False)
+        if self.tops and side.kind == WIN and b.limit is not None and b.order and not (grouped or late or b.distinct or b.sort):
+            out = self._tops(said, side, env) or out
+        return self._ordered(b, out, hidden)
+
+    def _tops(self, b: Block, side: _Side, env: dict[str, Lifted]) -> Lifted | None:
+        """The rows that may be among the first of a sliding window: those that are among the first of their pane, so
+        that joins and sorts have each row once and not once for each window."""
+        if side.slide >= side.width or side.width % side.slide or any(t.upper == "OVER" for i in b.items for t in i.expr) or any(t.upper == "OVER" for o in b.order for t in o.expr):
+            return None
+        source = _in_panes(b.source, side.slide, env)
+        if source is None:
+            return None
+        rel = self.block(replace(b, source=source), env, of_panes=True)
+        df = rel.df
+        names = [f"__k{i}" for i in range(len(df.columns))]
+        pane = names[df.columns.index(WIN)]
+        wide = df.toDF(*names).select(*[c for c in names if c != pane], F.window(F.col(f"{pane}.start"), spelled(side.width), spelled(side.slide)).alias(pane))
+        wide = self.closed(wide.select(*names), pane).toDF(*df.columns)
+        return Lifted(wide, rel.columns, WIN, side.width, side.slide)
+
+    def closed(self, df: DataFrame, win: str) -> DataFrame:
+        """Of rows in all windows of their pane those in windows to be answered."""
+        return df
 
     def _items(self, items: list[Item], side: _Side) -> list[Item]:
         """Stars become the columns that the text may see, where there are others."""
@@ -330,8 +358,8 @@ class Lifter:
                 o.expr = [Token("word", f"__o{n}")]
         return hidden
 
-    def _ordered(self, b: Block, rel: Lifted, hidden: list[str]) -> Lifted:
-        """ORDER BY, SORT BY and LIMIT, within each instant."""
+    def _ordered(self, b: Block, rel: Lifted, hidden: list[str], whole: bool = True) -> Lifted:
+        """ORDER BY, SORT BY and LIMIT, within each instant. whole: the result in its order and without hidden keys."""
         keys = b.order + b.sort
         if not keys and b.limit is None:
             return rel
@@ -354,7 +382,10 @@ class Lifter:
         if b.limit is not None:
             n = self.spark.sql(f"SELECT CAST({render(b.limit)} AS INT)").first()[0]
             if rel.kind:
-                own = own.withColumn("__rn", F.row_number().over(W.partitionBy(at).orderBy(*(by or [at])))).filter(F.col("__rn") <= n)
+                end = at["end"] if rel.kind == WIN else at  # windows of one width; a time sorts faster than a struct
+                own = own.withColumn("__rn", F.row_number().over(W.partitionBy(end).orderBy(*(by or [at])))).filter(F.col("__rn") <= n)
+        if not whole:
+            return replace(rel, df=own.drop("__rn").toDF(*df.columns))
         when = [] if at is None else [at["end"].asc() if rel.kind == WIN else at.asc()]
         if b.order:
             own = own.orderBy(*when, *by)
@@ -437,6 +468,20 @@ class Lifter:
 _UNITS = {"year", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond"}
 
 
+def _in_panes(r: object, slide: int, env: dict[str, Lifted]) -> object | None:
+    """A FROM clause with panes as the windows of its only windowed relation, whose rows alone are in the result; None:
+    it isn't such a clause."""
+    if isinstance(r, Table | Derived) and r.window is not None:
+        return replace(r, window=WindowClause(slide, slide))
+    if isinstance(r, Join) and r.kind in ("inner", "left"):
+        plain = lambda x: isinstance(x, Table) and x.window is None and x.name.strip("`").lower() not in env
+        if plain(r.right) and (left := _in_panes(r.left, slide, env)) is not None:
+            return replace(r, left=left)
+        if r.kind == "inner" and plain(r.left) and (right := _in_panes(r.right, slide, env)) is not None:
+            return replace(r, right=right)
+    return None
+
+
 def _closing(ts: list[Token], at: int) -> int:
     depth = 0
     for i in range(at, len(ts)):

@@ -104,20 +104,30 @@ def open_source(spark: SparkSession, provider: str, schema: StructType | None, o
 
 
 def replay(spark: SparkSession, df: DataFrame, folder: str, batches: int, order_by: str, last: DataFrame | None = None) -> DataFrame:
-    """A stream that brings a bounded table in ``batches`` parts by order of a column, one file a trigger.
+    """A stream that brings a bounded table in ``batches`` parts by order of a column, a part a trigger.
 
-    last: rows of one more part, such as one whose time lies past all windows and so closes them.
+    Each part is as many files as tasks write it, so that large tables aren't written by one. last: rows of one more
+    part, such as one whose time lies past all windows and so closes them.
     """
     at = [x for x in df.select(F.percentile_approx(order_by, [k / batches for k in range(1, batches)], 10_000)).first()[0] or []] if batches > 1 else []
-    for low, high in zip([None, *at], [*at, None]):  # (low, high]; a null is in the first part
+    files = max(1, min(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    for k, (low, high) in enumerate(zip([None, *at], [*at, None]), 1):  # (low, high]; a null is in the first part
         part = df if low is None else df.filter(F.col(order_by) > F.lit(low))
-        _one_file(part if high is None else part.filter((F.col(order_by) <= F.lit(high)) | (F.col(order_by).isNull() if low is None else F.lit(False))), folder)
+        part = part if high is None else part.filter((F.col(order_by) <= F.lit(high)) | (F.col(order_by).isNull() if low is None else F.lit(False)))
+        _write(part.repartition(files) if files > 1 else part.coalesce(1), folder)
+        for _ in range(k * files - _files_in(spark, folder)) if files > 1 else ():  # tasks without rows write no file
+            _write(spark.createDataFrame([], df.schema), folder)
     if last is not None:
-        _one_file(last, folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        _write(last.coalesce(1), folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def _one_file(df: DataFrame, folder: str) -> None:
+def _write(df: DataFrame, folder: str) -> None:
     """Streams take files by their time, so in the order of writing."""
-    df.coalesce(1).write.mode("append").parquet(folder)
+    df.write.mode("append").parquet(folder)
     time.sleep(0.01)
+
+
+def _files_in(spark: SparkSession, folder: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return sum(f.getPath().getName().endswith(".parquet") for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))

@@ -10,8 +10,9 @@ batches: a query without windows over one stream is answered for each micro-batc
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import fields, is_dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from windrose.operators.durations import WindowError, spelled
 from windrose.operators.windowing import WIN, assign, before
+from windrose.plans.lexer import Token
 from windrose.plans.lift import Lifted, Lifter, Stream, visible
 from windrose.plans.parser import Query
 
@@ -51,20 +53,29 @@ class _Gathering(Lifter):
 
 
 class _Answering(Lifter):
-    """The n-th windowed relation of a live stream is the n-th of the given tables; ends: their instants."""
+    """The n-th windowed relation of a live stream is the n-th of the given tables; ends: their instants, between first
+    and last (microseconds; None: there are none). A single table, of windows of the given slide, is given by panes, too."""
 
-    def __init__(self, *a, tables: list[DataFrame], ends: DataFrame, **k):
+    def __init__(self, *a, tables: list[DataFrame], ends: DataFrame, slide: int, first: int | None, last: int | None, **k):
         super().__init__(*a, panes=False, **k)
-        self.tables, self.ends = iter(tables), ends
+        self.tops = len(tables) == 1 and first is not None
+        self.tables, self.ends, self.slide, self.first, self.last = itertools.cycle(tables), ends, slide, *(F.timestamp_micros(F.lit(x).cast("bigint")) for x in (first, last))
 
     def assigned(self, rel: Lifted, width: int, slide: int) -> Lifted:
         if rel.stream.live:
             df = next(self.tables)
-            return Lifted(df, rel.columns, WIN, width, slide, replace(rel.stream, df=df))
+            if self.tops and width == self.slide:
+                # Of a row's copies the one of its pane's own end or, if that was answered before, the first one.
+                pane = F.window(F.col(f"`{rel.stream.ts}`"), spelled(slide)).alias("__pane")
+                df = df.select("*", pane).filter(F.col(f"{WIN}.end") == F.greatest("__pane.end", self.first)).drop(WIN).withColumnRenamed("__pane", WIN)
+            return Lifted(df, [c for c in df.columns if c != WIN], WIN, width, slide, replace(rel.stream, df=df))
         done = super().assigned(rel, width, slide)
         at = self.ends.select(F.col("end").cast(done.df.schema[WIN].dataType["end"].dataType).alias("__end"))
         return replace(done, df=done.df.join(F.broadcast(at), done.df[WIN]["end"] == at["__end"], "left_semi"))
 
+    def closed(self, df: DataFrame, win: str) -> DataFrame:
+        return df.filter(F.col(f"{win}.end").between(self.first, self.last))
+
 
 class ContinuousQuery:
     """A query over at least one stream; ``start`` runs it.
@@ -162,14 +173,17 @@ class ContinuousQuery:
 
     def _windows(self, sink):
         inputs = self._gather().inputs
+        said = _words(self.ast)
+        # What the text doesn't name isn't gathered; the time always is.
+        kept = [[c for c in df.columns if said is None or c == ts or c.lower() in said] for df, ts, *_ in inputs]
         # A row of one input is a struct with that input's field set.
-        kinds = [F.lit(None).cast(df.schema).alias(f"r{k}") for k, (df, *_) in enumerate(inputs)]
+        kinds = [F.lit(None).cast(df.select(*[f"`{c}`" for c in kept[k]]).schema).alias(f"r{k}") for k, (df, *_) in enumerate(inputs)]
         parts = []
         for k, (df, ts, width, slide) in enumerate(inputs):
             wide = assign(df, ts, max(width, slide), slide)
             # The instant is the event time here. It lies up to a width ahead of the row's time, so it may lag as much more.
             at = (F.col(f"{WIN}.end") - F.expr("INTERVAL 1 MILLISECOND")).alias("__at")
-            own = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(f"r{k}")
+            own = F.struct(*[F.col(f"`{c}`") for c in kept[k]]).alias(f"r{k}")
             one = F.struct(F.lit(k).alias("tag"), *kinds[:k], own, *kinds[k + 1 :])
             part = wide.select(one.alias("row"), at, F.col(f"`{ts}`").alias("__ts")).withWatermark("__at", spelled(self.delay + max(width, slide)))
             # Rows between sampled windows tell the time, too, so they go only now.
@@ -180,6 +194,7 @@ class ContinuousQuery:
         for p in parts[1:]:
             union = union.unionByName(p)
         # An instant's rows are gathered in several buckets, so that no group and no task has all of them.
+        tops = slide if inputs[0][2] > slide else 0
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         bucket = (F.rand(17) * buckets).cast("int").alias("bucket")
         gathered = union.withColumn("bucket", bucket).groupBy(F.window("__at", spelled(slide)).alias("w"), "bucket").agg(F.collect_list("row").alias("rows"))
@@ -201,7 +216,8 @@ class ContinuousQuery:
                     return _there(name, s, spark)
 
                 ends = batch.select("w.end").distinct()
-                sink.write(self.show(_Answering(spark, resolve, tables=tables, ends=ends, **self.lifting).query(self.ast)), n)
+                first, last = ends.agg(F.unix_micros(F.min("end")), F.unix_micros(F.max("end"))).first()
+                sink.write(self.show(_Answering(spark, resolve, tables=tables, ends=ends, slide=tops, first=first, last=last, **self.lifting).query(self.ast)), n)
             finally:
                 batch.unpersist()
 
@@ -212,3 +228,21 @@ def _there(name: str, s: Stream | DataFrame, spark: SparkSession) -> Stream | Da
     """A table or bounded stream in the session of a batch, which has the names of the query's session."""
     df = spark.table(name)
     return replace(s, df=df.withColumn(s.ts, F.col(f"`{s.ts}`").cast(s.df.schema[s.ts].dataType))) if isinstance(s, Stream) else df
+
+
+def _words(x: object) -> set[str] | None:
+    """All names in a query, in lower case; None: it has a star, other than in COUNT(*), and so any column."""
+    if isinstance(x, list) and x and all(isinstance(t, Token) for t in x):
+        for k, t in enumerate(x):
+            counted = [y.upper for y in x[max(k - 2, 0) : k]] == ["COUNT", "("]
+            if t.text == "*" and not counted and (k == 0 or x[k - 1].text in ("(", ",", ".") or x[k - 1].upper == "DISTINCT"):
+                return None
+        return {t.text.strip("`").replace("``", "`").lower() for t in x if t.kind in ("word", "quoted")}
+    if is_dataclass(x):
+        x = [getattr(x, f.name) for f in fields(x)]
+    found: set[str] = {x.strip("`").lower()} if isinstance(x, str) else set()
+    for y in x if isinstance(x, list | tuple) else ():
+        if (more := _words(y)) is None:
+            return None
+        found |= more
+    return found
