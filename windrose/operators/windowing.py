@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import ceil, gcd, log, log2
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from windrose.operators.durations import spelled
@@ -68,6 +69,56 @@ def _estimate(bits: int) -> Column:
     return F.when(F.count("__reg") == 0, F.lit(0)).otherwise(F.round(F.lit(m * m / (2 * log(2))) / (low * m + full))).cast("bigint")
 
 
+#: Windows of a block, as the bits of a long.
+BLOCK = 64
+
+
+def _distinct_by_blocks(df: DataFrame, ts: str, width: int, slide: int, keys: dict[str, Column], of: dict[str, Column], distinct: dict[str, str], approx: dict[str, int]) -> DataFrame:
+    """Distinct and approximate counts of bounded rows: windows as the bits of a mask, one for each block of windows.
+
+    A value has one row for each group and block, however many windows hold it, and masks merge by OR. Of a register the
+    values come by falling rank, and each fills it in the windows where no value before did. Only in the last step, after
+    rows have moved, do bits become windows; they are summed before they move.
+    """
+    bits = max(approx.values(), default=0)
+    ntz = df.schema[ts].dataType.typeName() == "timestamp_ntz"
+    epoch = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+    at = f"CAST(CAST(CAST(`{ts}` - {epoch} AS INTERVAL SECOND) AS DECIMAL(20, 6)) * 1000000 AS BIGINT)" if ntz else f"unix_micros(`{ts}`)"
+    div = lambda x, by: f"(({x}) - pmod({x}, {by}L)) div {by}L"
+    named = [c.alias(k) for k, c in (keys | of).items()]
+    rows = df.filter(F.col(f"`{ts}`").isNotNull()).select(*named, F.expr(at).alias("__at"))
+    if approx:
+        reg, rank = _register(F.col(next(iter(of))), bits)
+        rows = rows.withColumns({"__reg": reg} if distinct else {"__reg": reg, "__rank": rank})
+    inner = [*(of if distinct else ()), *(["__reg"] if approx else ()), *(["__rank"] if approx and not distinct else ())]
+    rows = rows.select(*keys, *inner, F.expr(div("__at", slide * 1000)).alias("__hi"), F.expr(f"{div(f'__at - {width * 1000}L', slide * 1000)} + 1L").alias("__lo"))
+    rows = rows.withColumn("__block", F.explode(F.expr(f"sequence({div('__lo', BLOCK)}, {div('__hi', BLOCK)})")))
+    first, last = f"int(greatest(__lo - __block * {BLOCK}L, 0L))", f"int(least(__hi - __block * {BLOCK}L, {BLOCK - 1}L))"
+    rows = rows.withColumn("__in", F.expr(f"shiftleft(-1L, {first}) & shiftrightunsigned(-1L, {BLOCK - 1} - {last})"))
+    rows = rows.groupBy("__block", *keys, *inner).agg(F.bit_or("__in").alias("__in"))
+    whole = F.lit(True)
+    for c in of if distinct else ():
+        whole = whole & F.col(c).isNotNull()
+    rows = rows.withColumn("__whole", whole)
+    if approx:
+        if distinct:
+            rows = rows.withColumn("__rank", rank)
+        above = W.partitionBy("__block", *keys, "__reg").orderBy(F.col("__rank").desc()).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("__seen", F.coalesce(F.bit_or("__in").over(above), F.lit(0).cast("bigint")))
+    else:
+        rows = rows.withColumn("__seen", F.lit(0).cast("bigint"))
+    rows = rows.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1)))).filter("shiftrightunsigned(__in, __bit) & 1L = 1L")
+    finals = [(F.count(F.when(F.col("__whole"), F.lit(1))) if f == "count" else F.sum(next(iter(of)))).alias(name) for name, f in distinct.items()]
+    if approx:
+        rows = rows.withColumn("__reg", F.expr("if(shiftrightunsigned(__seen, __bit) & 1L = 0L, __reg, NULL)"))
+        finals += [_estimate(bits).alias(name) for name in approx]
+    out = rows.groupBy("__block", "__bit", *keys).agg(*finals)
+    n = f"(__block * {BLOCK}L + __bit)"
+    second = lambda ms: f"make_dt_interval(0, 0, 0, {ms / 1000:.3f})"
+    start, end = (F.expr(f"{epoch} + {second(slide)} * {n}" + (f" + {second(ms)}" if ms else "") if ntz else f"timestamp_micros({n} * {slide * 1000}L + {ms * 1000}L)") for ms in (0, width))
+    return out.select(F.struct(start.alias("start"), end.alias("end")).alias(WIN), *keys, *distinct, *approx)
+
+
 def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[str, Column], aggs: dict[str, tuple[str, Column]],
                    of: dict[str, Column] | None = None, distinct: dict[str, str] | None = None, approx: dict[str, int] | None = None) -> DataFrame:
     """Aggregates of windows from panes as long as the greatest common divisor of width and slide.
@@ -83,10 +134,12 @@ def pane_aggregate(df: DataFrame, ts: str, width: int, slide: int, keys: dict[st
     approx: name to the bits of the registers, of the one column ``of``; all share the most bits. A register is a key
     as a distinct value is. Beside distinct aggregates the registers are filled from the distinct values.
 
-    Each step is an aggregation by event time, so that streams run it natively, one after the other. Returns WIN, the
-    keys and the aggregates.
+    Each step is an aggregation by event time, so that streams run it natively, one after the other. Sliding windows of
+    bounded rows that ask for nothing else have their distinct values by blocks. Returns WIN, the keys and the aggregates.
     """
     of, distinct, approx = of or {}, distinct or {}, approx or {}
+    if of and not aggs and slide != width and not df.isStreaming and df.schema[ts].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+        return _distinct_by_blocks(df, ts, width, slide, keys, of, distinct, approx)
     bits = max(approx.values(), default=0)
     # Keys of the panes beside the groups: the distinct values or, without need for them, the registers.
     inner = of

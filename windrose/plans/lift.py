@@ -455,12 +455,13 @@ class Lifter:
             return None
         names = [(i.alias or (i.expr[-1].text if f"__g{n}" in keys else render(i.expr))).strip("`") for n, i in enumerate(items)]
         df = pane_aggregate(base, rel.stream.ts, rel.width, rel.slide, keys, aggs, of, distinct, approx)
+        top = df._jdf.queryExecution().analyzed().nodeName()
         try:
             df = df.select(*[F.expr(o).alias(n) for o, n in zip(out, names)], WIN)
         except AnalysisException:  # what is left of an item needs the rows' columns
             return None
         plan = df._jdf.queryExecution().analyzed()
-        if plan.nodeName() != "Project" or plan.children().head().nodeName() != "Aggregate":  # or aggregates or generates
+        if plan.nodeName() != "Project" or plan.children().head().nodeName() != top:  # or aggregates or generates
             return None
         return Lifted(df, names, WIN, rel.width, rel.slide)
 
