@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from windrose.llm import decontaminate, line_dedup, simhash
+from windrose.llm import common, decontaminate, line_dedup, simhash
 
 R = random.Random(3)
 VOCAB = [f"w{i}" for i in range(400)]
@@ -198,6 +198,51 @@ def test_templates_with_one_changing_word_need_no_pairs(spark, make):
     assert line_dedup.find_repeats(df).count() == 299
 
 
+def test_lines_equal_by_words_whatever_their_spaces(spark, make):
+    df = make(["a b c\n \t\na\tb c", " A  b c", "a b\x0b\r c\x0c", "a b c ", "a bc", "\r", "a\u00a0b c", "ab c"])
+    assert sorted(map(tuple, line_dedup.find_repeats(df).collect())) == [(0, 2), (1, 0), (2, 0), (3, 0)]
+
+
+def moved(df, metric):
+    """What each shuffle of an executed plan has written."""
+    todo, written = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        todo += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        if p.nodeName() == "Exchange":
+            written.append(p.metrics().apply(metric).value())
+    return written
+
+
+def test_variants_move_once(spark, make, monkeypatch):
+    """Lines that share an end; of the variants few meet, so the others need not be joined."""
+    r, seen = random.Random(8), []
+    monkeypatch.setattr(line_dedup, "checkpoint", lambda df: (common.checkpoint(df), seen.append(df))[0])
+    start = " ".join(f"w{i}" for i in range(32))
+    lines = [f"{start} {' '.join(prose(32, r))} {i} end" for i in range(200)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = line_dedup.find_repeats(make([*lines, lines[7].replace(" 7 end", " 8 end"), lines[9].replace(" 9 end", " end")]))
+        assert sorted(map(tuple, found.collect())) == [(200, 0), (201, 0)]
+        records = sum(sum(moved(df, "shuffleRecordsWritten")) for df in [*seen, found])
+        assert 202 * 66 <= records <= 2 * 202 * 66
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_texts_that_lose_lines_move(spark, make):
+    r = random.Random(9)
+    texts = [" ".join(prose(300, r)) + f"\n{i}" for i in range(60)]
+    texts[50] += "\n3"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.dedup_lines(make(texts))
+        assert [(x.doc_id, x.text) for x in out.collect() if x.n_gone] == [(50, texts[50][: -len("\n3")])]
+        assert sum(moved(out, "dataSize")) < sum(map(len, texts)) / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def naive(t):
     w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []

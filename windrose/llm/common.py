@@ -55,17 +55,29 @@ def unpacked(df: DataFrame, columns: list[str], **instead: Column) -> DataFrame:
     return df.select(*[instead.get(c, F.col(f"r.c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
-def likely(left: DataFrame, key: str, wanted: DataFrame, bits: int = 27) -> DataFrame:
-    """The rows of ``left`` whose key may be one of ``wanted``'s, before they are shuffled to be joined.
+def _probed(left: DataFrame, key: str, wanted: DataFrame, bits: int, how: str) -> DataFrame:
+    """``left`` with __maybe: whether a bitmap of hashes of ``wanted``'s keys has its key.
 
-    A bitmap of key hashes: it is broadcast as at most 2^(bits - 6) rows of two longs (32 MB), however many keys
-    there are, and lets other keys pass with a chance of keys / 2^bits.
+    The bitmap is broadcast as at most 2^(bits - 6) rows of two longs (32 MB), however many keys there are, and lets
+    other keys pass with a chance of keys / 2^bits.
     """
     at = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     bit = lambda h: F.expr(f"shiftleft(1L, int({h} & 63))")
     bitmap = wanted.select(at.alias("__h")).groupBy(F.shiftrightunsigned("__h", 6).alias("__at")).agg(F.bit_or(bit("__h")).alias("__set"))
     hashed = left.withColumn("__h", at).withColumn("__at", F.shiftrightunsigned("__h", 6))
-    return hashed.join(F.broadcast(bitmap), "__at").filter(F.col("__set").bitwiseAND(bit("__h")) != 0).drop("__at", "__h", "__set")
+    found = F.coalesce(F.col("__set").bitwiseAND(bit("__h")) != 0, F.lit(False))
+    return hashed.join(F.broadcast(bitmap), "__at", how).withColumn("__maybe", found).drop("__at", "__h", "__set")
+
+
+def likely(left: DataFrame, key: str, wanted: DataFrame, bits: int = 27) -> DataFrame:
+    """The rows of ``left`` whose key may be one of ``wanted``'s, before they are shuffled to be joined."""
+    return _probed(left, key, wanted, bits, "inner").filter("__maybe").drop("__maybe")
+
+
+def parted(left: DataFrame, key: str, wanted: DataFrame, bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``left`` whose key may be one of ``wanted``'s, and all others."""
+    probed = _probed(left, key, wanted, bits, "left")
+    return probed.filter("__maybe").drop("__maybe"), probed.filter("NOT __maybe").drop("__maybe")
 
 
 def join_split(left: DataFrame, right: DataFrame, keys: list[str], n: str, by: list[str], hot: int = 1_000_000) -> DataFrame:
